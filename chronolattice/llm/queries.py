@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, sharding, url_filter
+from . import media, mixing, near_dedup, packing, quality, sharding, url_filter
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("first_position")
 
@@ -45,6 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_near_dedup": op2_near_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
