@@ -4,11 +4,427 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from chronolattice.functions import arrays
+from chronolattice.operators import distances as dist
+from chronolattice.operators import evaluation, reduction
+from chronolattice.operators.series_set import SeriesSet
+from chronolattice.sources import readers, synthetic
+
+from . import steps
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+def query(oracle: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is any."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_set(spark: SparkSession, sf_dir: str) -> SeriesSet:
+    """Series of the events, with the user's id as id."""
+    d = SeriesSet.from_events(table(spark, sf_dir, "events"))
+    return d.with_column("user_id", d.decorator("simulationId").cast("long")).with_column("event_type", d.decorator("varName"))
+
+
+def vectors_set(spark: SparkSession, sf_dir: str) -> SeriesSet:
+    e = table(spark, sf_dir, "embeddings")
+    return SeriesSet(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label"))
+
+
+def rounded(c: Column, digits: int = 6) -> Column:
+    """Rounded a little above the middle, where sums in another order may fall on either side of a tie; no negative zero."""
+    return F.round(c + 1e-9, digits) + 0.0
+
+
+def long_form(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, place (from 0), value."""
+    return df.select(*keys, F.posexplode(column).alias("place", "value")).select(*keys, "place", rounded(F.col("value")).alias("value"))
+
+
+#: Series of the events in DuckDB: v in time order.
+_S = "WITH s AS (SELECT user_id, event_type, list(value ORDER BY ts, event_id) AS v, list(epoch_us(ts) / 1e6 ORDER BY ts, event_id) AS t FROM events GROUP BY ALL)"
+
+
+def _long_sql(values: str, keys: str = "user_id, event_type", source: str = "s", ctes: str = _S, where: str = "") -> str:
+    return f"""{ctes}, r AS (SELECT {keys}, {values} AS w FROM {source} {where}),
+u AS (SELECT {keys}, w, unnest(range(len(w))) AS i FROM r)
+SELECT {keys}, CAST(i AS INTEGER) AS place, round(w[i + 1] + 1e-9, 6) + 0.0 AS value FROM u"""
+
+
+def _series_query(name: str, build: Callable[[SeriesSet], SeriesSet], sql: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return long_form(build(events_set(spark, sf_dir)).df, ["user_id", "event_type"], "out")
+
+    QUERIES[name] = f
+    ORACLES[name] = _long_sql(sql)
+
+
+_RE = "[list_sum([v[t + 1] * cos(2 * pi() * k * t / len(v)) FOR t IN range(len(v))]) FOR k IN range(len(v))]"
+_IM = "[-list_sum([v[t + 1] * sin(2 * pi() * k * t / len(v)) FOR t IN range(len(v))]) FOR k IN range(len(v))]"
+_POWER = "[(power(list_sum([v[t + 1] * cos(2 * pi() * k * t / len(v)) FOR t IN range(len(v))]), 2) + power(list_sum([v[t + 1] * sin(2 * pi() * k * t / len(v)) FOR t IN range(len(v))]), 2)) / len(v) FOR k IN range(len(v))]"
+_SD = "list_stddev_pop(v)"
+
+_series_query("series_values", lambda d: d.with_column("out", F.col("series")), "v")
+_series_query("centered", lambda d: d.add_centered("out", "series"), "list_transform(v, lambda x: x - list_avg(v))")
+_series_query("z_normalized", lambda d: d.add_z_normalized("out", "series", 1e-9), f"list_transform(v, lambda x: CASE WHEN {_SD} < 1e-9 THEN 0.0 ELSE (x - list_avg(v)) / {_SD} END)")
+_series_query("scaled", lambda d: d.add_scaled("out", "series", 1e-9), f"list_transform(v, lambda x: CASE WHEN {_SD} < 1e-9 THEN 0.0 ELSE x / {_SD} END)")
+_series_query("sum_normalized", lambda d: d.add_sum_normalized("out", "series"), "list_transform(v, lambda x: x / list_sum(v))")
+_series_query("log10_offset", lambda d: d.add_log10("out", "series", 1.0), "list_transform(v, lambda x: log10(x + 1))")
+_series_query("weighted", lambda d: d.add_weighted("out", "series", [1.0, 0.5, 0.25]), "[v[i] * [1.0, 0.5, 0.25][i] FOR i IN range(1, least(len(v), 3) + 1)]")
+_series_query("nullified_slice", lambda d: d.add_nullified_slice("out", "series", 2, 3), "[CASE WHEN i >= 2 AND i < 5 THEN 0.0 ELSE v[i + 1] END FOR i IN range(len(v))]")
+_series_query("nullified_even", lambda d: d.add_nullified("out", "series", lambda i: i % 2 == 0), "[CASE WHEN i % 2 = 0 THEN 0.0 ELSE v[i + 1] END FOR i IN range(len(v))]")
+_series_query("low_pass", lambda d: d.add_low_pass("out", "series", 3), "[CASE WHEN i < 3 OR i > len(v) - 3 THEN v[i + 1] ELSE 0.0 END FOR i IN range(len(v))]")
+_series_query("dft", lambda d: d.add_dft("out", "series"), f"[CASE WHEN i % 2 = 0 THEN ({_RE})[i // 2 + 1] ELSE ({_IM})[i // 2 + 1] END FOR i IN range(2 * len(v))]")
+_series_query("dft_round_trip", lambda d: d.add_dft("f", "series").add_inverse_dft("out", "f"), "v")
+_series_query("dft_periodogram", lambda d: d.add_dft("f", "series").add_dft_periodogram("out", "f"), _POWER)
+_series_query("log10_dft_periodogram", lambda d: d.add_log10_dft_periodogram("out", "series", 1.0), f"list_transform({_POWER}, lambda x: log10(x + 1))")
+_series_query("dft_frequencies", lambda d: d.add_dft_frequencies("out", "series", 0.5), "[(CASE WHEN i < ceil(len(v) / 2) THEN i ELSE i - len(v) END) / (len(v) * 0.5) FOR i IN range(len(v))]")
+_series_query("linear_interpolation", lambda d: d.with_column("xs", F.transform("series", lambda x, i: i.cast("double"))).add_linear_interpolation("out", "xs", "series", [-1.0, 0.5, 1.25, 2.0]), "[CASE WHEN len(v) < 2 THEN v[1] ELSE v[CAST(least(greatest(floor(x), 0), len(v) - 2) AS INTEGER) + 1] + (v[CAST(least(greatest(floor(x), 0), len(v) - 2) AS INTEGER) + 2] - v[CAST(least(greatest(floor(x), 0), len(v) - 2) AS INTEGER) + 1]) * (x - least(greatest(floor(x), 0), len(v) - 2)) END FOR x IN [-1.0, 0.5, 1.25, 2.0]]")
+_series_query("haar_wavelet", lambda d: d.where("size(series) >= 8").with_column("cut", F.slice("series", 1, 8)).add_dwt("out", "cut", "haar"), "[(v[1]+v[2]+v[3]+v[4]+v[5]+v[6]+v[7]+v[8]) / sqrt(8), (v[1]+v[2]+v[3]+v[4]-v[5]-v[6]-v[7]-v[8]) / sqrt(8), (v[1]+v[2]-v[3]-v[4]) / 2, (v[5]+v[6]-v[7]-v[8]) / 2, (v[1]-v[2]) / sqrt(2), (v[3]-v[4]) / sqrt(2), (v[5]-v[6]) / sqrt(2), (v[7]-v[8]) / sqrt(2)]")
+ORACLES["haar_wavelet"] = ORACLES["haar_wavelet"].replace("FROM s ", "FROM s WHERE len(v) >= 8")
+_series_query("wavelet_round_trip", lambda d: d.where("size(series) >= 8").with_column("cut", F.slice("series", 1, 8)).add_dwt("w", "cut", "d4").add_inverse_dwt("out", "w", "d4"), "v[1:8]")
+ORACLES["wavelet_round_trip"] = ORACLES["wavelet_round_trip"].replace("FROM s ", "FROM s WHERE len(v) >= 8")
+
+
+def fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as series, z-normalised, their log periodograms as (id, bin, value)."""
+    d = events_set(spark, sf_dir).add_z_normalized("z", "series", 1e-9).add_dft("f", "z").add_dft_periodogram("p", "f").add_log10("out", "p", 1.0)
+    return long_form(d.df, ["user_id", "event_type"], "out")
+
+
+flagship = fourier_features
+QUERIES["fourier_features"] = fourier_features
+ORACLES["fourier_features"] = _long_sql(f"list_transform({_POWER}, lambda x: log10(x + 1))", source="z", ctes=_S + f", z AS (SELECT user_id, event_type, list_transform(v, lambda x: CASE WHEN {_SD} < 1e-9 THEN 0.0 ELSE (x - list_avg(v)) / {_SD} END) AS v FROM s)")
+
+
+@query(f"{_S} SELECT user_id, event_type, CAST(len(v) AS INTEGER) AS n, t[1] AS time_from, t[len(t)] AS time_to, round(t[2] - t[1], 6) AS step FROM s")
+def series_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_set(spark, sf_dir).df.select("user_id", "event_type", F.size("series").alias("n"), F.col("timeFrom").alias("time_from"), F.col("timeTo").alias("time_to"), F.round("timeGranularity", 6).alias("step"))
+
+
+@query("SELECT name, count(*) AS n, min(t) AS time_from, max(t) AS time_to, round((max(t) - min(t)) / (count(*) - 1), 6) AS step, round(sum(x), 4) AS total FROM (SELECT CAST(event_id AS DOUBLE) AS t, unnest(['time', 'value']) AS name, unnest([CAST(event_id AS DOUBLE), value]) AS x FROM events) GROUP BY name")
+def build_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = readers.build(table(spark, sf_dir, "events").select(F.col("event_id").alias("time"), "value"))
+    return d.select(F.element_at("decorators", "varName").alias("name"), F.size("series").cast("long").alias("n"), F.col("timeFrom").alias("time_from"), F.col("timeTo").alias("time_to"), F.round("timeGranularity", 6).alias("step"), F.round(arrays.total(F.col("series")), 4).alias("total"))
+
+
+@query("""WITH w AS (SELECT CAST(user_id AS VARCHAR) AS s, epoch_us(ts) / 1e6 AS t, value, CAST(event_id AS DOUBLE) AS e FROM events),
+r AS (SELECT s, 'value' AS name, min(t) AS time_from, max(t) AS time_to, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY s
+UNION ALL SELECT s, 'event_id', min(t), max(t), count(*), round(sum(e), 4) FROM w GROUP BY s)
+SELECT r.*, n_name AS nation FROM r LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = s""")
+def read_wide_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("scenarioId"), F.lit("p").alias("simulationPlanId"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("time"), "value", "event_id")
+    meta = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_id"), F.col("n_name").alias("nation"))
+    d = SeriesSet.read_wide(e, metadata=meta)
+    return d.df.select(d.decorator("simulationId").alias("s"), d.decorator("varName").alias("name"), F.col("timeFrom").alias("time_from"), F.col("timeTo").alias("time_to"), F.size("series").cast("long").alias("n"), F.round(arrays.total(F.col("series")), 4).alias("total"), d.decorator("nation").alias("nation"))
+
+
+@query(f"{_S} SELECT user_id, event_type, round(list_sum([power(v[i] - (v[i] - list_avg(v)), 2) FOR i IN range(1, len(v) + 1)]) + 1e-9, 4) + 0.0 AS squared, round((list_max(v) - list_min(v)) / list_min(v), 6) AS ratio, round(v[2] - v[1], 6) AS step, v[3] AS third FROM s")
+def row_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events_set(spark, sf_dir).add_centered("c", "series").add_euclidean_distance("squared", "series", "c")
+    d = d.with_column("low", F.array_min("series")).with_column("high", F.array_max("series")).add_relative_ratio("ratio", "high", "low")
+    d = d.add_constant("two", 2).add_element_at("third", "series", "two")
+    return d.df.select("user_id", "event_type", rounded(F.col("squared"), 4).alias("squared"), F.round("ratio", 6).alias("ratio"), F.round(arrays.first_step("series"), 6).alias("step"), "third")
+
+
+@query("SELECT vec_id, CAST(i AS INTEGER) AS place, CASE WHEN i = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM (SELECT vec_id, label, unnest(range(10)) AS i FROM embeddings)")
+def categorical_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_form(vectors_set(spark, sf_dir).add_categorical_coding("out", "label", 10).with_column_renamed("id", "vec_id").df, ["vec_id"], "out")
+
+
+@query(f"{_S} SELECT CAST(user_id AS VARCHAR) AS gkey, array_to_string(list(event_type ORDER BY event_type), ',') AS keys, array_to_string(list(CAST(len(v) AS VARCHAR) ORDER BY event_type), ',') AS sizes, round(list_sum(flatten(list(v ORDER BY event_type))), 4) AS total FROM s GROUP BY user_id")
+def group_multivariate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = SeriesSet.from_events(table(spark, sf_dir, "events"))
+    d = d.group(d.decorator("simulationId"), d.decorator("varName")).add_flatten("flat", "series")
+    return d.df.select("gkey", F.array_join("inGKey", ",").alias("keys"), F.array_join(F.transform("series", lambda v: F.size(v).cast("string")), ",").alias("sizes"), F.round(arrays.total(F.col("flat")), 4).alias("total"))
+
+
+@query(f"{_S} SELECT event_type AS \"varName\", round(avg(list_sum(v)), 6) AS mean FROM s GROUP BY 1")
+def mean_by_decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events_set(spark, sf_dir).with_column("total", arrays.total(F.col("series")))
+    return d.mean_by_decorators(["varName"], "total").select("varName", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation FROM events")
+def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = SeriesSet(table(spark, sf_dir, "events"))
+    return spark.createDataFrame([(round(d.column_mean("value"), 6), round(d.column_deviation("value"), 6))], "mean double, deviation double")
+
+
+@query("SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS q, unnest(quantile_disc(value, [0.25, 0.5, 0.75])) AS value FROM events")
+def column_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = [0.25, 0.5, 0.75]
+    return spark.createDataFrame(list(zip(q, SeriesSet(table(spark, sf_dir, "events")).column_quantiles("value", q))), "q double, value double")
+
+
+@query("SELECT 'name' AS kind, unnest(['simulationId', 'varName']) AS value UNION ALL SELECT DISTINCT 'domain', event_type FROM events")
+def decorator_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = SeriesSet.from_events(table(spark, sf_dir, "events"))
+    return spark.createDataFrame([("name", n) for n in d.decorator_names()] + [("domain", v) for v in d.decorator_domain("varName")], "kind string, value string")
+
+
+@query(f"{_S} SELECT user_id, CAST(len(v) AS INTEGER) AS n FROM s WHERE event_type = (SELECT min(event_type) FROM events)")
+def filter_decorator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events_set(spark, sf_dir)
+    return d.filter_decorator("varName", table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]).df.select("user_id", F.size("series").alias("n"))
+
+
+@query(f"{_S} SELECT event_type AS \"varName\", count(*) AS n FROM (SELECT * FROM s UNION ALL SELECT * FROM s WHERE len(v) > 12) GROUP BY 1")
+def union_select_decorator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = SeriesSet.from_events(table(spark, sf_dir, "events"))
+    return d.union(d.where("size(series) > 12")).select("varName").df.groupBy("varName").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS nation_key, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
+def metadata_decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    d = SeriesSet(c.withColumn("decorators", F.create_map(F.lit("nation_key"), F.col("c_nationkey").cast("string"))))
+    d = d.add_metadata_decorators(table(spark, sf_dir, "nation").where("n_nationkey < 20"), d.decorator("nation_key"), "n_nationkey", ["n_name", "n_regionkey"])
+    return d.df.select("c_custkey", *[d.decorator(n).alias(n) for n in ("nation_key", "n_name", "n_regionkey")])
+
+
+@query("SELECT c_custkey, n_name AS \"simulationName\", CASE WHEN n_name IS NOT NULL THEN CAST(n_regionkey AS VARCHAR) END AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
+def warning_decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = SeriesSet(table(spark, sf_dir, "customer").withColumn("decorators", F.create_map(F.lit("simulationId"), F.col("c_nationkey").cast("string"))))
+    w = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("scenario_id"), F.col("n_name").alias("scenario_name"), F.lit("place").alias("warning_name"), F.lit("region").alias("indicator_name"), F.col("n_regionkey").alias("value"))
+    d = d.add_warning_decorators(w)
+    return d.df.select("c_custkey", d.decorator("simulationName").alias("simulationName"), d.decorator("place::region").alias("region"))
+
+
+@query(f"{_S}, e AS (SELECT CAST(len(v) % 3 AS INTEGER) AS c, unnest(['simulationId', 'varName']) AS k, unnest([CAST(user_id AS VARCHAR), event_type]) AS v2 FROM s) SELECT k AS key, v2 AS value, c AS cluster, count(*) AS n FROM e GROUP BY ALL")
+def contingency_map_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = SeriesSet.from_events(table(spark, sf_dir, "events")).with_column("c", F.size("series") % 3)
+    return d.contingency_map_scalar("key", "value", "cluster", "n", "decorators", "c")
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+def contingency_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SeriesSet(table(spark, sf_dir, "labels")).contingency_scalars("quality", "toxic", "n", "quality", "toxic")
+
+
+@query("WITH e AS (SELECT l_returnflag, l_linestatus, unnest(['flag', 'status']) AS k1, unnest([l_returnflag, l_linestatus]) AS v1 FROM lineitem), f AS (SELECT k1, v1, unnest(['flag', 'status']) AS k2, unnest([l_returnflag, l_linestatus]) AS v2 FROM e) SELECT k1, v1, k2, v2, count(*) AS n FROM f GROUP BY ALL")
+def contingency_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("status"), F.col("l_linestatus"))
+    return SeriesSet(table(spark, sf_dir, "lineitem").select(m.alias("a"), m.alias("b"))).contingency_maps(["k1", "v1", "k2", "v2"], "n", "a", "b")
+
+
+_E = "WITH e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)"
+_BARY = ", u AS (SELECT id, label, unnest(range(len(x))) AS i, x FROM e), b AS (SELECT label, i, avg(x[i + 1]) AS m FROM u GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS m FROM b GROUP BY label)"
+
+
+@query(f"{_E}{_BARY} SELECT label AS cluster, CAST(i AS INTEGER) AS place, round(m + 1e-9, 6) + 0.0 AS value FROM b")
+def clustering_barycenters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_form(vectors_set(spark, sf_dir).clustering_barycenters("x", "label"), ["cluster"], "barycenter")
+
+
+@query(f"{_E} SELECT a.id AS id1, b.id AS id2, round(list_sum([power(a.x[i] - b.x[i], 2) FOR i IN range(1, 65)]) + 1e-9, 6) + 0.0 AS distance FROM e a, e b")
+def row_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_set(spark, sf_dir).row_distances("x").df.select("id1", "id2", rounded(F.col("distance")).alias("distance"))
+
+
+_W = "[CASE WHEN i % 2 = 0 THEN 2.0 ELSE 0.5 END FOR i IN range(64)]"
+_T = f"{_E}, t AS (SELECT * FROM e WHERE id % 20 = 0)"
+
+
+def _targets(d: SeriesSet) -> DataFrame:
+    return d.df.where("id % 20 = 0").select("id", "x")
+
+
+@query(f"{_T} SELECT a.id AS id1, t.id AS id2, round(list_sum([{_W}[i] * power(a.x[i] - t.x[i], 2) FOR i IN range(1, 65)]) + 1e-9, 6) + 0.0 AS distance FROM e a, t")
+def target_distances_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir)
+    w = [2.0 if i % 2 == 0 else 0.5 for i in range(64)]
+    return d.distances_to("x", _targets(d), lambda a, b: arrays.weighted_euclidean(a, b, w)).df.select("id1", "id2", rounded(F.col("distance")).alias("distance"))
+
+
+@query(f"{_T}, p AS (SELECT a.id AS id1, t.id AS id2, list_sum([power(a.x[i] - t.x[i], 2) FOR i IN range(1, 65)]) AS d FROM e a, t WHERE a.id % 20 <> 0) SELECT id2 AS \"refId\", min_by(id1, d) AS \"closestPoint\", round(min(d) + 1e-9, 6) + 0.0 AS distance FROM p GROUP BY id2")
+def closest_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir)
+    found = d.where("id % 20 <> 0").closest_to_targets("x", _targets(d), arrays.euclidean)
+    return found.select("refId", "closestPoint", rounded(F.col("distance")).alias("distance"))
+
+
+_SIGNS = "[CASE WHEN x[i] > 0 THEN 1 ELSE 0 END FOR i IN range(1, 65)]"
+
+
+@query(f"{_E}, s AS (SELECT id, {_SIGNS} AS s FROM e), t AS (SELECT * FROM s WHERE id % 20 = 0) SELECT a.id AS id1, t.id AS id2, CAST(list_sum([CASE WHEN a.s[i] <> t.s[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS DOUBLE) AS hamming, CAST(list_sum([[[0.0, 2.0], [3.0, 0.5]][a.s[i] + 1][t.s[i] + 1] FOR i IN range(1, 65)]) AS DOUBLE) AS prototype FROM s a, t")
+def label_sequence_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir)
+    d = d.with_column("x", F.transform("x", lambda v: F.when(v > 0, 1).otherwise(0)))
+    one = d.distances_to("x", _targets(d), arrays.hamming).df.withColumnRenamed("distance", "hamming")
+    two = d.distances_to("x", _targets(d), lambda a, b: arrays.prototype_distance(a, b, [[0, 2], [3, 0.5]])).df.withColumnRenamed("distance", "prototype")
+    return one.join(two, ["id1", "id2"])
+
+
+@query(f"{_E}, p AS (SELECT a.id AS id1, b.id AS id2, list_sum([power(a.x[i] - b.x[i], 2) FOR i IN range(1, 65)]) AS d FROM e a, e b) SELECT id1, round(sum(d), 4) AS total, count(*) AS n, min_by(id2, d) FILTER (WHERE id1 <> id2) AS nearest FROM p GROUP BY id1")
+def distance_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).row_distances("x")
+    a = d.aggregate_by_id(arrays.total)
+    near = d.grouped_lists().select(F.col("refId").alias("id1"), F.size("distances").cast("long").alias("n"), F.get(dist.ids_by_distance(F.filter("distances", lambda x: x["id"] != F.col("refId"))), F.lit(0)).alias("nearest"))
+    return a.join(near, "id1").select("id1", F.round("aggregate", 4).alias("total"), "n", "nearest")
+
+
+@query(f"""{_E}, p AS (SELECT a.id AS id1, b.id AS id2, -0.5 * list_sum([power(a.x[i] - b.x[i], 2) FOR i IN range(1, 65)]) AS b FROM e a, e b)
+SELECT id1, id2, round(b - avg(b) OVER (PARTITION BY id1) - avg(b) OVER (PARTITION BY id2) + avg(b) OVER () + 1e-9, 6) + 0.0 AS b FROM p""")
+def double_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).row_distances("x", dist.euclidean(False))
+    return reduction.double_centred(d.df).select("id1", "id2", rounded(F.col("b")).alias("b"))
+
+
+@query(f"{_E}, u AS (SELECT id AS vec_id, unnest(range(64)) AS i, x FROM e) SELECT vec_id, CAST(i AS INTEGER) AS place, round((x[i + 1] - avg(x[i + 1]) OVER (PARTITION BY i)) / stddev_samp(x[i + 1]) OVER (PARTITION BY i) + 1e-9, 6) + 0.0 AS value FROM u")
+def column_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).add_vector("v", "x").add_column_scaled("s", "v", True, True).add_array_from_vector("out", "s")
+    return long_form(d.with_column_renamed("id", "vec_id").df, ["vec_id"], "out")
+
+
+@query(f"{_E} SELECT CAST(f AS INTEGER) AS feature, CAST(a AS INTEGER) AS axis, round(corr(x[f + 1], x[a + 9]) + 1e-9, 6) + 0.0 AS corr FROM (SELECT x, unnest(range(8)) AS f FROM e) CROSS JOIN (SELECT unnest(range(2)) AS a) GROUP BY ALL")
+def correlation_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).with_column("f", F.slice("x", 1, 8)).with_column("p", F.slice("x", 9, 2))
+    return d.pca_correlation_circle("p", "f").select("feature", "axis", rounded(F.col("corr")).alias("corr"))
+
+
+_INDEX_SQL = """WITH c AS (SELECT {truth} AS a, {pred} AS b, count(*)::DOUBLE AS n FROM {table} GROUP BY ALL),
+ra AS (SELECT a, sum(n) AS n FROM c GROUP BY a), rb AS (SELECT b, sum(n) AS n, max(n) AS m FROM c GROUP BY b),
+z AS (SELECT (SELECT sum(n) FROM c) AS t, (SELECT sum(n * (n - 1) / 2) FROM c) AS tp, (SELECT sum(n * (n - 1) / 2) FROM ra) AS aa, (SELECT sum(n * (n - 1) / 2) FROM rb) AS bb, (SELECT sum(m) FROM rb) AS m),
+p AS (SELECT *, bb - tp AS fp, aa - tp AS fn, t * (t - 1) / 2 AS al, t * (t - 1) / 2 - aa - bb + tp AS tn,
+  (SELECT sum(c.n / z.t * ln(c.n * z.t / (ra.n * rb.n))) FROM c JOIN ra USING (a) JOIN rb USING (b)) AS mi,
+  (SELECT -sum(n / z.t * ln(n / z.t)) FROM ra) AS ht, (SELECT -sum(n / z.t * ln(n / z.t)) FROM rb) AS hp FROM z)
+SELECT round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, round(tn, 6) AS tn, round((tp + tn) / al, 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+ round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round((fn - fp) / sqrt(fn + fp), 6) AS mcnemar,
+ round((tp + tn) / al, 6) AS rand, round((tp - aa * bb / al) / ((aa + bb) / 2 - aa * bb / al), 6) AS adjusted_rand, round(tp / (tp + fp + fn), 6) AS jaccard, round(tp / sqrt((tp + fp) * (tp + fn)), 6) AS fowlkes_mallows,
+ round((tp / (tp + fp) + tp / (tp + fn)) / 2, 6) AS kulczynski, round((tp + tn) / (tp + tn + 2 * (fp + fn)), 6) AS rogers_tanimoto, round(tp / al, 6) AS russel_rao, round(tp / (tp + 2 * (fp + fn)), 6) AS sokal_sneath_1,
+ round((tp + tn) / (tp + tn + (fp + fn) / 2), 6) AS sokal_sneath_2, round(mi, 6) AS mutual_information, round(mi / greatest(ht, hp), 6) AS nmi_max, round(mi / sqrt(ht * hp), 6) AS nmi_sqrt, round(m / t, 6) AS purity FROM p"""
+
+
+def _indices(df: DataFrame, pred: str, truth: str) -> DataFrame:
+    found = evaluation.external_indices(df, pred, truth)
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query(_INDEX_SQL.format(truth="toxic", pred="quality", table="labels"))
+def external_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indices(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query(_INDEX_SQL.format(truth="l_linenumber", pred="CAST(l_quantity AS INTEGER) % 5", table="lineitem"))
+def external_indices_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indices(table(spark, sf_dir, "lineitem").select("l_linenumber", (F.col("l_quantity").cast("int") % 5).alias("pred")), "pred", "l_linenumber")
+
+
+@query(f"""{_E}{_BARY}, d AS (SELECT e.label, list_sum([power(x[i] - m[i], 2) FOR i IN range(1, 65)]) AS q FROM e JOIN c ON e.label = c.label),
+s AS (SELECT label, avg(sqrt(q)) AS s, avg(q) AS q FROM d GROUP BY label),
+w AS (SELECT a.label, max((sa.s + sb.s) / sqrt(list_sum([power(a.m[i] - b.m[i], 2) FOR i IN range(1, 65)]))) AS w FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY a.label)
+SELECT (SELECT round(avg(w), 6) FROM w) AS davies_bouldin, (SELECT round(avg(q), 6) FROM s) AS ball_hall""")
+def internal_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).df
+    return evaluation.davies_bouldin(d, "x", "label").crossJoin(evaluation.ball_hall(d, "x", "label")).select(F.round("davies_bouldin", 6).alias("davies_bouldin"), F.round("ball_hall", 6).alias("ball_hall"))
+
+
+@query()
+def cubic_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events_set(spark, sf_dir).where("size(series) >= 4").with_column("xs", F.transform("series", lambda x, i: i.cast("double")))
+    return long_form(d.add_cubic_interpolation("out", "xs", "series", [0.5, 1.5, 2.5]).df, ["user_id", "event_type"], "out")
+
+
+@query()
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).add_vector("v", "x").add_pca("p", "v", 8, 0.0).add_array_from_vector("out", "p")
+    return long_form(d.df.select(F.col("id").alias("vec_id"), "out"), ["vec_id"], "out")
+
+
+@query()
+def pca_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, _ = vectors_set(spark, sf_dir).add_pca_detailed("out", "x", correlation=True, k=4, cos2="cos2", contribution="part")
+    return d.df.select("id", "out", "cos2", "part")
+
+
+@query()
+def multidimensional_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_set(spark, sf_dir).add_mds("out", "x", 3).df.select("id", "out")
+
+
+@query()
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_set(spark, sf_dir).add_kmeans("cluster", "x", 10, runs=2, seed=1)[0].df.select("id", "label", "cluster")
+
+
+@query()
+def gaussian_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).with_column("x", F.slice("x", 1, 4))
+    return d.add_mixture("cluster", "x", 3, max_iterations=10, seed=1, probabilities="p", log_likelihood="l")[0].df.select("id", "cluster", "p", "l")
+
+
+@query()
+def self_organising_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_set(spark, sf_dir).add_som("cell", "x", 3, 3, 6, 1)[0].df.select("id", "cell")
+
+
+@query()
+def hierarchical_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_set(spark, sf_dir).add_hierarchical("x", [2, 10])[0].df.select("id", "hclust_2", "hclust_10")
+
+
+@query()
+def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).with_column("x", F.slice("x", 1, 8))
+    return d.add_decision_tree("predicted", "x", "label", seed=1)[0].df.select("id", "label", "predicted")
+
+
+@query()
+def synthetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.clusters(spark, [["sine", "sigmoid"], ["morlet", "gaussian"]], 0.01, [20, 20], [3, 3], seed=1)
+
+
+def _demo(spark: SparkSession, rows: int = 20) -> SeriesSet:
+    """Synthetic 2 x 2 blocks as multivariate rows of two components per cell."""
+    d = SeriesSet(synthetic.clusters(spark, [["sine", "sigmoid"], ["morlet", "gaussian"]], 0.01, [rows, rows], [3, 3], length=32, seed=1))
+    d = d.add_z_normalized("z", "series", 1e-4).add_log10_dft_periodogram("p", "z", 1.0).add_vector("v", "p").add_column_scaled("s", "v", True, True)
+    d = d.add_pca("c", "s", 2).add_array_from_vector("pca", "c").drop("v", "s", "c")
+    d = d.group(d.decorator("simulationId"), d.decorator("varName"))
+    return d.with_column("trueCluster", F.element_at("trueSeriesCluster", 1))
+
+
+@query()
+def latent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _demo(spark).add_lbm("cluster", "pca", k=2, l=2, max_iterations=5, burn_in=3, seed=3)[0].df.select("gkey", "cluster", "trueCluster")
+
+
+@query()
+def conditional_latent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _demo(spark).add_clbm("clusters", "pca", sizes=(2, 2), max_iterations=5, burn_in=3, seed=3)[0].df.select("gkey", "clusters", "trueCluster")
+
+
+@query()
+def functional_latent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _demo(spark).add_fun_lbm("cluster", "pca", k=2, l=2, max_iterations=5, burn_in=3, seed=3)[0].df.select("gkey", "cluster", "trueCluster")
+
+
+@query()
+def functional_conditional_latent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _demo(spark).add_fun_clbm("clusters", "pca", sizes=(2, 2), max_iterations=5, burn_in=3, seed=3)[0].df.select("gkey", "clusters", "trueCluster")
+
+
+@query()
+def fourier_step_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events_set(spark, sf_dir).where("size(series) >= 8").with_column("unit", F.lit(1.0))
+    p = steps.InterpolatedFourierVectorization("fourier", step_column="unit", points=6) + steps.Log10Scale("features", "fourier") + steps.PCAStep("pca", "features", 2)
+    return p(d).df.select("user_id", "event_type", vector_to_array("pca").alias("pca"))
+
+

@@ -1 +1 @@
-
+"""Reserved for streaming: every source and operator of the engine is batch."""
