@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = chosen.select(F.col("own_id").cast("string").alias("id"), "truth", "text").mapInArrow(features, "id string, truth double, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.x))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64).reshape(len(rows), 2 * DIM)
     return QualityModel(vectors, train(x, np.array([r.truth for r in rows])))
 
 
