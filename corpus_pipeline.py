@@ -14,28 +14,34 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolattice.llm import line_dedup, mixing, near_dedup, packing, quality
 from chronolattice.llm._common import materialise, table
 from chronolattice.llm.queries import vocabulary
+from chronolattice.runtime import shipped
 
 
+@shipped
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@shipped
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines within one word of an earlier line go."""
     return line_dedup.drop_lines(docs)
 
 
+@shipped
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return near_dedup.keep_first(docs)
 
 
+@shipped
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated, cut or left out for the sources' weights, in training order."""
     return mixing.mix(docs)
 
 
+@shipped
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 1024."""
     return packing.pack(docs, vocabulary())
