@@ -5,8 +5,11 @@ a sparse ternary index vector; its context vector is the sum of the index
 vectors of its neighbours over the whole corpus.  Partitions count neighbour
 pairs, project them, and add their sums up in two rounds of salted shuffles, so
 what reaches the driver is one BUCKETS x (DIM + 1) matrix at any input size.  A
-word's vector is its normalised context vector beside its index vector; a
-document's is the mean over its words, frequent words weighing less.  A network
+word's vector is its normalised context vector beside its index vector,
+frequent words weighing less.  A document's is the mean over its words, its
+concentration (squared length of the mean over the words' mean squared length:
+1 for one word repeated, near 0 for varied text), the share of words that
+repeat the one before, and its length.  A network
 of one hidden layer is trained with numpy on at most ``SAMPLE`` labelled
 documents (those of least hash; a parameter), a fifth of them kept aside to fit
 the temperature that calibrates its probabilities.  Labels come only from rows
@@ -35,6 +38,8 @@ BUCKETS = 4096
 DIM = 64
 NONZERO = 4
 HIDDEN = 32
+#: Inputs of the network.
+WIDTH = 2 * DIM + 4
 #: Most labelled documents that the network is trained on.
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -97,20 +102,23 @@ def context_sums(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """BUCKETS x 2 DIM, rows weighted against frequent words."""
+    """BUCKETS x (2 DIM + 1): rows weighted against frequent words, and their squared lengths."""
     context, counts = sums[:, :DIM], sums[:, DIM]
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = np.concatenate((np.divide(context, norm, out=np.zeros_like(context), where=norm > 0), index_vectors()), axis=1)
     share = counts / max(counts.sum(), 1.0)
-    return (vectors * (SMOOTH / (SMOOTH + share))[:, None]).astype(np.float32)
+    vectors = vectors * (SMOOTH / (SMOOTH + share))[:, None]
+    return np.concatenate((vectors, (vectors**2).sum(1, keepdims=True)), axis=1).astype(np.float32)
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector of each text."""
-    out = np.zeros((len(texts), vectors.shape[1]), np.float32)
+def pooled(texts: list[bytes], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean word vector of each text, and the share of its words that repeat the one before."""
+    out, repeats = np.zeros((len(texts), vectors.shape[1]), np.float32), np.zeros(len(texts))
     for start, part in chunks(texts):
         w, doc = buckets_of(part)
         if len(w):
+            again = doc[1:][(doc[1:] == doc[:-1]) & (w[1:] == w[:-1])]
+            repeats[start : start + len(part)] = np.bincount(again, minlength=len(part)) / np.maximum(np.bincount(doc, minlength=len(part)), 1)
             present, first, n = np.unique(doc, return_index=True, return_counts=True)
             for k in range(0, len(present), 64):  # a few documents at a time: the gathered vectors stay small
                 a, b = first[k], first[k + 64] if k + 64 < len(present) else len(w)
@@ -120,7 +128,16 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
                     stops = np.concatenate(([lo], first[own + 1 : k + 64][first[own + 1 : k + 64] < hi]))
                     out[start + present[own : own + len(stops)]] += np.add.reduceat(vectors[w[lo:hi]], stops - lo, axis=0)
             out[start + present] /= n[:, None]
-    return out
+    return out, repeats
+
+
+def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+    """WIDTH inputs of each text."""
+    means, repeats = pooled(texts, vectors)
+    p = means.astype(np.float64)
+    concentration = (p[:, :-1] ** 2).sum(1) / np.maximum(p[:, -1], 1e-12)
+    length = np.log1p(np.fromiter(map(len, texts), float, len(texts)))
+    return np.concatenate((p[:, :-1], concentration[:, None], np.log(concentration + 1e-3)[:, None], repeats[:, None], length[:, None]), axis=1)
 
 
 @dataclass
@@ -144,7 +161,7 @@ class Network:
 
 def train(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Network:
     """Adam on the logistic loss; the temperature is fitted to a fifth of the rows, which the weights have not seen."""
-    n, d = x.shape if len(x) else (0, 2 * DIM)
+    n, d = x.shape
     rng = np.random.default_rng(seed)
     net = Network(np.zeros(d), np.ones(d), rng.normal(0, np.sqrt(2 / d), (d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
@@ -192,7 +209,7 @@ class QualityModel:
     network: Network
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return self.network.scores(pooled(texts, self.vectors).astype(np.float64))
+        return self.network.scores(features(texts, self.vectors))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
@@ -203,14 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = docs.select(docs[id_col].alias("own_id"), docs[text_col].alias("text")).join(F.broadcast(known), F.col("own_id") == F.col("known_id"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pooled([(t or "").encode() for t in b.column(2).to_pylist()], shared.value)
+            x = features([(t or "").encode() for t in b.column(2).to_pylist()], shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "truth", "x"])
 
-    rows = chosen.select(F.col("own_id").cast("string").alias("id"), "truth", "text").mapInArrow(features, "id string, truth double, x binary").collect()
+    rows = chosen.select(F.col("own_id").cast("string").alias("id"), "truth", "text").mapInArrow(run, "id string, truth double, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.x))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64).reshape(len(rows), 2 * DIM)
+    x = np.array([np.frombuffer(r.x) for r in rows]).reshape(len(rows), WIDTH)
     return QualityModel(vectors, train(x, np.array([r.truth for r in rows])))
 
 

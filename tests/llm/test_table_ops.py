@@ -319,7 +319,8 @@ def test_quality_edges(spark, graded):
 def test_pooling_is_the_mean():
     v = np.random.default_rng(0).random((quality.BUCKETS, 6)).astype(np.float32)
     texts = [b"a b, c", b"", b"a b " * 5000, b" ", b"x!"] * 40
-    got = quality.pooled(texts, v)
-    for t, g in zip(texts, got):
+    got, repeats = quality.pooled(texts, v)
+    for t, g, r in zip(texts, got, repeats):
         w = quality.buckets_of([t])[0]
+        assert r == pytest.approx((w[1:] == w[:-1]).sum() / max(len(w), 1))
         np.testing.assert_allclose(g, v[w].mean(0) if len(w) else 0, atol=2e-3)
