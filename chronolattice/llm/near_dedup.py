@@ -11,12 +11,21 @@ Documents with an empty coordinate look twice as far.  ``BANDS`` bands of
 ``BAND_ROWS`` coordinates are joined; at similarity 0.8 a pair shares no band
 with probability (1 - 0.8**5)**32 = 3e-6.
 
+Pairs are screened before they are checked: 4 bits of every coordinate are kept
+beside a text, and a pair goes on if at most ``MOST_BITS`` of the 640 differ.  A
+pair at similarity 0.8 differs in 64 bits on average, with a deviation of 11.6;
+it fails the screen with probability 3e-7.  The screen is part of the join
+condition, so texts that share a common passage emit no pairs.
+
 Exact copies are joined first, by digest; the rest works on one representative
-of each text.  A bucket never emits all its pairs.  (1) Every member is checked
-against the least member of its buckets, once, then against the others it has
-not been merged with.  (2) What is left are buckets whose members lie in
-different classes; only pairs across classes are checked.  All checks are exact
-(on the whole multisets), and classes are components of the links.
+of each text.  No join emits the pairs of a bucket.  (1) Every member is screened
+against the least member of each of its buckets; components of what passes are
+clusters.  A cluster is dealt in blocks of ``BLOCK`` by ``BLOCK`` texts, so no task
+gets a whole hot one; a block compares all of its pairs exactly, by products of
+unit matrices, and returns at most one link per text.  (2) Members of one bucket
+in different clusters are joined under the screen, which lets few pairs through,
+and those are checked.  All checks are exact (on the whole multisets); classes
+are the components of the links.
 
 Edge cases.  Null text links with nothing; its id is its class.  Texts without
 words are linked only if equal.  A null id sorts first.  Rows that repeat id and
@@ -31,7 +40,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, packed, unpacked
@@ -42,6 +51,11 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
 COORDINATES = BANDS * BAND_ROWS
+#: Longs that hold 4 bits of each coordinate, and the most bits in which a pair may differ.
+SKETCH = COORDINATES // 16
+MOST_BITS = 122
+#: Texts of a block in which all pairs are compared, and shared units that one matrix product takes.
+BLOCK, COLUMNS = 512, 4096
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 
 _U = np.uint64
@@ -109,25 +123,52 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def bit_sketches(signature: np.ndarray) -> np.ndarray:
+    """n x SKETCH longs: 4 hashed bits of every coordinate."""
+    nibbles = (mix(signature.view(np.uint64) + _U(0xA0761D6478BD642F)) & _U(15)).reshape(len(signature), SKETCH, 16)
+    return (nibbles << (_U(4) * np.arange(16, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def _bits(side: str) -> list[str]:
+    return [f"{side}{k}" for k in range(SKETCH)]
+
+
+def _alike() -> Column:
+    """The screen, on columns u0.. and v0.."""
+    differing = F.lit(0)
+    for a, b in zip(_bits("u"), _bits("v")):
+        differing = differing + F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    return differing <= MOST_BITS
+
+
+def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that pass the screen."""
+    for side in ("u", "v"):
+        pairs = pairs.join(reps.select(F.col("node").alias(side), *[F.col(f"b{k}").alias(c) for k, c in enumerate(_bits(side))]), side)
+    return pairs.where(_alike()).select("u", "v")
+
+
 def _digest(text: str) -> str:
     return md5(text.encode(), usedforsecurity=False).hexdigest()
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, bands (empty without words) of docs (doc_id, text); null texts are left out."""
+    """doc_id, digest, bands (empty without words), sketch of docs (doc_id, text); null texts are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, bands = b.column(1).to_pylist(), []
+            texts, bands, sketches = b.column(1).to_pylist(), [], []
             for _, part in chunks(t.encode() for t in texts):
                 unit, doc = units(part)
-                s = band_hashes(signatures(unit, doc, len(part)))
+                s = signatures(unit, doc, len(part))
                 have = np.bincount(doc, minlength=len(part)) > 0
-                bands += [x if ok else x[:0] for x, ok in zip(s, have)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, texts), pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+                bands += [x if ok else x[:0] for x, ok in zip(band_hashes(s), have)]
+                sketches += list(bit_sketches(s))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, texts), pa.string()), pa.array(bands, lists), pa.array(sketches, lists)], ["doc_id", "digest", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest string, bands array<long>")
+    return docs.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest string, bands array<long>, sketch array<long>")
 
 
 def unit_sets(chosen: DataFrame) -> DataFrame:
@@ -167,33 +208,86 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
 
+def _texts_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, digest, text of the representatives."""
+    wanted = reps.join(nodes, "node").select("node", "digest", F.col("first_id").alias("own_id"))
+    text = docs.select("doc_id", "text").where("text is not null")
+    return text.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "digest", "text")
+
+
+def _close(units: list[np.ndarray], others: list[np.ndarray] | None, similarity: float) -> np.ndarray:
+    """Which pairs of unit sets are similar enough; ``others`` None: of one list with itself."""
+    sets = units + (others or [])
+    size = np.fromiter(map(len, sets), float, len(sets))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    shared = times > 1  # the others are in no intersection
+    number = np.cumsum(shared) - 1
+    used = shared[column]
+    row, column = row[used], number[column[used]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n = len(units)
+    both = np.zeros((n, len(others) if others is not None else n), np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        m = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - first)), np.float32)
+        m[row[lo:hi], column[lo:hi] - first] = 1
+        both += m[:n] @ (m[n:] if others is not None else m).T
+    all_ = size[:n, None] + (size[n:] if others is not None else size) - both
+    return both >= similarity * all_
+
+
+def _block_links(t: pa.Table, similarity: float) -> pa.Table:
+    """u, v: links that join a block's nodes as all of its pairs of sufficient similarity do, at most one per node."""
+    side = t.column("side").to_numpy()
+    node = t.column("node").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("units").to_pylist()]
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    own_block = t.column("p")[0].as_py() == t.column("q")[0].as_py()
+    if not own_block and (not len(a) or not len(b)):
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    near = _close([sets[k] for k in a], None if own_block else [sets[k] for k in b], similarity)
+    if own_block:
+        b = a
+    x, y, far = node[a].copy(), node[b].copy(), np.iinfo(np.int64).max
+    while True:
+        p = np.minimum(x, np.where(near, y, far).min(1))
+        q = np.minimum(y, np.where(near, p[:, None], far).min(0))
+        if (p == x).all() and (q == y).all():
+            break
+        x, y = p, q
+    u, v = np.concatenate((node[a], node[b])), np.concatenate((x, y))
+    return pa.table({"u": u[u != v], "v": v[u != v]})
+
+
 def links(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) that join the same representatives into classes as all links of that similarity do."""
     buckets = reps.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("key", "leader")
     members = materialise(buckets.join(shared, "key"), "near-members")
-    wanted = reps.join(members.select("node").distinct(), "node").select("node", "digest", F.col("first_id").alias("own_id"))
-    text = docs.select("doc_id", "text").where("text is not null")
-    sets = materialise(unit_sets(text.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "digest", "text")), "near-units")
-    star = members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    first = materialise(star.groupBy("u").agg(F.min("v").alias("v")), "near-pairs")
-    found = materialise(verified(first, sets, similarity), "near-links")
-
-    def classed(pairs: DataFrame) -> DataFrame:
-        c = components(found)
-        for side in ("u", "v"):
-            pairs = pairs.join(c.select(F.col("node").alias(side), F.col("component").alias(f"{side}_class")), side, "left").withColumn(f"{side}_class", F.coalesce(f"{side}_class", side))
-        return pairs
-
-    rest = classed(star.distinct().join(first, ["u", "v"], "left_anti")).where("u_class <> v_class").select("u", "v")
-    found = materialise(found.unionByName(verified(rest, sets, similarity)), "near-links")
-    c = components(found)
-    placed = members.where("node <> leader").join(c, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
-    mixed = placed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
-    placed = materialise(placed.join(mixed, "key"), "near-mixed")
-    one, two = placed.select("key", F.col("node").alias("u"), F.col("class").alias("u_class")), placed.select("key", F.col("node").alias("v"), F.col("class").alias("v_class"))
-    across = one.join(two, "key").where("u_class < v_class").select("u", "v").distinct()
-    return materialise(found.unionByName(verified(across, sets, similarity)), "near-links")
+    star = members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+    clusters = materialise(components(screened(star, reps)), "near-clusters")
+    counts = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = clusters.join(counts, "component").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
+    placed = placed.join(unit_sets(_texts_of(docs, reps, clusters.select("node"))), "node")
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("component", "node", "units", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    inside = cells.groupBy("component", "p", "q").applyInArrow(lambda t: _block_links(t, similarity), "u long, v long")
+    found = materialise(inside, "near-links")
+
+    apart = members.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster"))
+    mixed = apart.groupBy("key").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("key")
+    apart = materialise(apart.join(mixed, "key").join(reps.select("node", *[f"b{k}" for k in range(SKETCH)]), "node"), "near-mixed")
+
+    def side_of(s: str) -> DataFrame:
+        return apart.select("key", F.col("node").alias(s), F.col("cluster").alias(f"{s}_cluster"), *[F.col(f"b{k}").alias(c) for k, c in enumerate(_bits(s))])
+
+    one, two = side_of("u"), side_of("v").withColumnRenamed("key", "other_key")
+    across = one.join(two, (F.col("key") == F.col("other_key")) & (F.col("u_cluster") < F.col("v_cluster")) & _alike()).select("u", "v").distinct()
+    across = materialise(across, "near-across")
+    nodes = across.select(F.col("u").alias("node")).unionByName(across.select(F.col("v").alias("node"))).distinct()
+    return materialise(found.unionByName(verified(across, unit_sets(_texts_of(docs, reps, nodes)), similarity)), "near-links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -203,8 +297,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     sketches = materialise(sketch(slim), "near-sketches")
-    reps = sketches.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first"), F.any_value("bands").alias("bands"))
-    reps = materialise(reps.select("digest", F.col("first.doc_id").alias("first_id"), "bands", F.monotonically_increasing_id().alias("node")), "near-texts")
+    reps = sketches.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    reps = materialise(reps.select("digest", F.col("first.doc_id").alias("first_id"), "bands", *[F.get("sketch", F.lit(k)).alias(f"b{k}") for k in range(SKETCH)], F.monotonically_increasing_id().alias("node")), "near-texts")
     found = components(links(slim, reps, similarity))
     placed = reps.select("digest", "first_id", "node").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = placed.groupBy("class").agg(F.min(F.struct("first_id", "digest")).alias("least"))

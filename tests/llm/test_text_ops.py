@@ -185,7 +185,10 @@ def brute_classes(rows):
     return {i: find(i) for i, _ in rows}
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 50)
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = []
