@@ -71,12 +71,11 @@ def read_scenario(spark: SparkSession, path: str, format: str = "csv", decorator
     return build(_scenario_rows(spark, path, format), decorators)
 
 
-def read_scenarios(spark: SparkSession, paths: Sequence[str], format: str = "csv", scenario_pattern: str = r"^[^_]*_([^_]*)", decorators: Mapping[str, str] | None = None) -> DataFrame:
+def read_scenarios(spark: SparkSession, paths: Sequence[str], format: str = "csv", scenario_pattern: str = r"^[^_]*_([^_.]*)", decorators: Mapping[str, str] | None = None) -> DataFrame:
     """Several files in one read; the scenario id is the pattern's group in the file's name."""
     raw = _scenario_rows(spark, list(paths), format)
     numeric = _numeric(raw)
-    raw = raw.withColumn("scenario_file", F.regexp_replace(F.col("_metadata.file_name"), "_scaner[.]txt$", ""))
-    raw = raw.withColumn("scenario", F.regexp_extract("scenario_file", scenario_pattern, 1)).withColumn("build_time", F.col("time").cast("double"))
+    raw = raw.withColumn("scenario", F.regexp_extract(F.col("_metadata.file_name"), scenario_pattern, 1)).withColumn("build_time", F.col("time").cast("double"))
     long = unpivoted(raw, ["scenario", "build_time"], numeric)
     fixed = [e for k, v in (decorators or {}).items() for e in (F.lit(k), F.lit(v))]
     rows = series_rows(long, ["scenario", "name"], F.col("build_time"), F.col("value"), F.create_map(*fixed, F.lit(SIMULATION_ID), F.col("scenario"), F.lit(VARIABLE), F.col("name")), mean_step=True)

@@ -77,13 +77,13 @@ def test_save_and_csv(spark, data, tmp_path):
 
 def test_scenario_files(spark, tmp_path):
     for k in (7, 8):
-        (tmp_path / f"run_{k}_x_scaner.txt").write_text("time\tspeed\tname\tgear\n0\t9\ta\t9\n1\t1.5\tb\t2\n3\tnull\tc\t4\n")
+        (tmp_path / f"run_{k}_x.txt").write_text("time\tspeed\tname\tgear\n0\t9\ta\t9\n1\t1.5\tb\t2\n3\tnull\tc\t4\n")
     d = SeriesSet.read_scenario_folder(spark, str(tmp_path))
     got = {(r.decorators["simulationId"], r.decorators["varName"]): r for r in d.collect()}
     assert set(got) == {(s, v) for s in "78" for v in ("time", "speed", "gear")}
     r = got["7", "speed"]
     assert (r.timeFrom, r.timeTo, r.timeGranularity, r.series) == (1.0, 3.0, 2.0, [1.5, None])
-    one = SeriesSet.read_scenario(spark, str(tmp_path / "run_7_x_scaner.txt"), decorators={"a": "b"})
+    one = SeriesSet.read_scenario(spark, str(tmp_path / "run_7_x.txt"), decorators={"a": "b"})
     assert one.count() == 3 and one.take(1)[0].decorators["a"] == "b"
 
 
