@@ -43,17 +43,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Delete this application's scratch tables. Call it once the results that use them are written."""
-    kept = set(keep)
+def mark(spark: SparkSession) -> int:
+    """Number of scratch tables so far, for :func:`release`."""
+    return len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete this application's scratch tables from number ``since`` on, but those with the label ``keep``.
+
+    Call it once the results that read them are written.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    for p in paths:
-        if p not in kept:
+    tables = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    for p in tables[since:]:
+        if keep is None or not p.rpartition("/")[2].startswith(f"{keep}-"):
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
-    if left := [p for p in paths if p in kept]:
-        _SCRATCH[spark.sparkContext.applicationId] = left
+            tables.remove(p)
 
 
 def packed(df: DataFrame, name: str = "row") -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolattice.llm import line_dedup, mixing, near_dedup, packing, quality
-from chronolattice.llm._common import materialise, table
+from chronolattice.llm._common import mark, materialise, release, table
 from chronolattice.llm.queries import vocabulary
 from chronolattice.runtime import shipped
 
@@ -63,5 +63,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        before = mark(spark)
         docs = materialise(stage(spark, docs, sf_dir), "stage")
+        release(spark, before, keep="stage")
     return STAGES[-1][1](spark, docs, sf_dir)
