@@ -89,6 +89,36 @@ def test_license_report(spark):
     assert licenses.license_hits(d).count() == 6 and licenses.license_report(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text, name", [
+    ("Released under the MIT License.", "MIT"),
+    ("Licensed under the MIT License.", "MIT"),
+    ("Released under the BSD License.", "BSD"),
+    ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Released under the GPL License.", "GPL"),
+    ("Released under the new license.", None),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("Licensed under CC BY 4.0", "CC-BY-4.0"),
+    ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+    ("This work is licensed under the GNU General Public License, version 3.0.", "GPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    (licenses._GNU.format("Lesser General", "2.1"), "LGPL-2.1"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+])
+def test_license_is_named(text, name):
+    found = licenses.named_hits(f"some words before. {text} And words after it.")
+    assert [h["license"] for h in found] == [name] * (name is not None)
+
+
+def test_every_template_names_its_license():
+    for name, _, text in licenses.TEMPLATES:
+        assert [h["license"] for h in licenses.named_hits(text)] == [name], text
+
+
 # --- lines
 
 def brute_lines(rows):
