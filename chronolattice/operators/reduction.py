@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -81,22 +83,16 @@ def classical_scaling(distances: DistanceSet, k: int, threshold: float = 0.0, ru
     ``runs`` with ``noise``: the diagonal is shifted by a random share of the least
     positive distance and the run of least stress kept.  ``additive`` adds the
     constant that makes the distances Euclidean.  Up to ``DRIVER_POINTS`` points
-    the eigenproblem is solved by numpy; beyond, Spark's distributed SVD.
+    the eigenproblem is solved by numpy; beyond, by a block Krylov method of which
+    Spark does the products.  A shift of the diagonal changes no eigenvector, so
+    there ``runs`` and ``noise`` need no work; ``additive`` is refused.
     """
     ids = [r[0] for r in distances.df.select("id1").distinct().orderBy("id1").collect()]
     n = len(ids)
     k = min(k, n)
     rng = np.random.default_rng(seed)
     if n > DRIVER_POINTS:
-        from pyspark.mllib.linalg.distributed import RowMatrix
-
-        rows = double_centred(distances.df).groupBy("id1").agg(F.array_sort(F.collect_list(F.struct("id2", "b"))).alias("r")).orderBy("id1").select(F.transform("r", lambda x: x["b"]).alias("r"))
-        svd = RowMatrix(rows.rdd.map(lambda r: list(r.r))).computeSVD(k)
-        values, vectors = np.array(svd.s.toArray()), svd.V.toArray()
-        norm = double_centred(distances.df).agg(F.sum(F.col("b") * F.col("b"))).first()[0]
-        shares = values**2 / norm
-        keep = needed(shares, threshold, k)
-        return Scaling(ids, vectors[:, :keep] * np.sqrt(values[:keep]), values, shares, float("nan"))
+        return _distributed_scaling(distances, ids, k, threshold, seed, additive)
     d = distances.to_matrix()
     if additive:
         d = d + _additive_constant(d) * (1 - np.eye(n))
@@ -119,6 +115,75 @@ def classical_scaling(distances: DistanceSet, k: int, threshold: float = 0.0, ru
     return best
 
 
+def _distributed_scaling(distances: DistanceSet, ids: list, k: int, threshold: float, seed: int, additive: bool) -> Scaling:
+    """Classical scaling of which no task or driver holds all distances."""
+    n, place = len(ids), {v: x for x, v in enumerate(ids)}
+    if additive:
+        raise ValueError(f"the additive constant of {n} points; at most {DRIVER_POINTS} fit")
+    listed = distances.df.groupBy("id1").agg(F.array_sort(F.collect_list(F.struct("id2", "distance"))).alias("r")).select("id1", F.transform("r", lambda x: x["distance"]).alias("r"))
+
+    def stacked(part):
+        part = list(part)
+        if part:
+            yield np.array([place[r.id1] for r in part]), np.array([r.r for r in part], float)
+
+    rows = listed.rdd.mapPartitions(stacked).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def product(x: np.ndarray) -> np.ndarray:
+        x, out = x - x.mean(0), np.empty_like(x)
+        for at, y in rows.map(lambda b: (b[0], -0.5 * (b[1] ** 2 @ x))).collect():
+            out[at] = y
+        return out - out.mean(0)
+
+    try:
+        values, vectors = largest_eigenpairs(product, n, k, seed)
+    finally:
+        rows.unpersist()
+    values = np.maximum(values, 0.0)
+    norm = double_centred(distances.df).agg(F.sum(F.col("b") * F.col("b"))).first()[0]
+    shares = values**2 / max(norm, 1e-300)
+    keep = needed(shares, threshold, k)
+    x = vectors[:, :keep] * np.sqrt(values[:keep])
+
+    def off(batches):
+        for b in batches:
+            one, two = (b[c].map(place).to_numpy(int) for c in ("id1", "id2"))
+            upper = one < two
+            fitted = np.sqrt(((x[one[upper]] - x[two[upper]]) ** 2).sum(1))
+            yield pd.DataFrame({"s": [float(((fitted - b["distance"].to_numpy(float)[upper]) ** 2).sum())]})
+
+    stress = distances.df.select("id1", "id2", "distance").mapInPandas(off, "s double").agg(F.sum("s")).first()[0]
+    return Scaling(ids, x, values, shares, float(stress))
+
+
+def largest_eigenpairs(product: Callable[[np.ndarray], np.ndarray], n: int, k: int, seed: int = 0, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest (not largest absolute) eigenvalues of a symmetric n x n operator and their vectors.
+
+    The block Krylov space grows until the residuals of the k pairs are within the
+    tolerance of the largest absolute eigenvalue, or it is the whole space.
+    """
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(n, k + 4))))[0]
+    v, bv = np.empty((n, 0)), np.empty((n, 0))
+    while True:
+        image = product(block)
+        v, bv = np.hstack((v, block)), np.hstack((bv, image))
+        small = v.T @ bv
+        values, s = np.linalg.eigh((small + small.T) / 2)
+        scale = max(np.abs(values).max(), 1e-300)
+        values, s = values[::-1][:k], s[:, ::-1][:, :k]
+        vectors = v @ s
+        if v.shape[1] >= n or np.linalg.norm(bv @ s - vectors * values, axis=0).max() <= tolerance * scale:
+            return values, vectors
+        for _ in range(2):
+            image = image - v @ (v.T @ image)
+        u, size, _ = np.linalg.svd(image, full_matrices=False)
+        block = u[:, size > 1e-12 * scale][:, : n - v.shape[1]]
+        block = block - v @ (v.T @ block)
+        if not block.shape[1]:
+            return values, vectors
+        block = np.linalg.qr(block)[0]
+
+
 def _additive_constant(d: np.ndarray) -> float:
     """Least constant that makes distances Euclidean: the largest eigenvalue of a 2n x 2n matrix."""
     n = len(d)

@@ -71,6 +71,25 @@ def test_scaling_reproduces_distances(points):
     assert model.stress < 1e-9
 
 
+def test_large_scaling_equals_small(spark, monkeypatch):
+    """Distances far from Euclidean: eigenvalues below zero that exceed the positive ones in size."""
+    rng, n = np.random.default_rng(4), 30
+    b = rng.normal(size=(n, n)) + np.outer(*[np.where(np.arange(n) < 15, 1.0, -1.0)] * 2) * 3
+    d = np.sqrt(np.maximum(b + b.T - (b + b.T).min() + 0.5, 0)) * (1 - np.eye(n))
+    rows = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(n) for j in range(n)], "id1 long, id2 long, distance double")
+    values = np.linalg.eigvalsh(-0.5 * (np.eye(n) - 1 / n) @ d**2 @ (np.eye(n) - 1 / n))
+    assert -values[0] > values[-1] > 0
+    small = reduction.classical_scaling(dist.DistanceSet(rows), 3)
+    monkeypatch.setattr(reduction, "DRIVER_POINTS", 0)
+    large = reduction.classical_scaling(dist.DistanceSet(rows), 3, runs=3, noise=0.5)
+    np.testing.assert_allclose(large.eigenvalues, small.eigenvalues, rtol=1e-7)
+    np.testing.assert_allclose(large.explained, small.explained, rtol=1e-6)
+    np.testing.assert_allclose(np.abs(large.coordinates), np.abs(small.coordinates), atol=1e-5)
+    assert large.stress == pytest.approx(small.stress, rel=1e-6)
+    with pytest.raises(ValueError):
+        reduction.classical_scaling(dist.DistanceSet(rows), 3, additive=True)
+
+
 def ari(d, pred, truth="truth"):
     return d.adjusted_rand(pred, truth)
 
