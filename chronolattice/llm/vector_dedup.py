@@ -6,7 +6,7 @@ the two is a grid of cells.  Codebooks are fitted by k-means on at most
 indexed.  A vector visits the cells nearest to it by the multi-sequence
 algorithm.  How many is measured on the sample: enough that pairs of the
 sample, and pairs made at cosines from the threshold to 1, are found with at
-least ``TARGET_RECALL``.  Candidates are verified by cosine in double precision.
+least ``TARGET_RECALL``, be it the whole grid.  Candidates are verified by cosine in double precision.
 
 Only vectors of equal label meet.  Cells of any size are dealt in blocks of
 ``BLOCK`` stored vectors by ``CHUNK`` visiting ones, so no task gets a whole hot
@@ -85,8 +85,13 @@ class MultiIndex:
         one, two = distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])
         return np.array([nearest_cells(p, q, count) for p, q in zip(one, two)], np.int32)
 
+    def ranks(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """As which of its cells, of the whole grid, each vector of u visits that of its partner in v."""
+        (a, b), (c, d) = ([distances(h, book) for h, book in zip((x[:, : self.half], x[:, self.half :]), self.books)] for x in (u, v))
+        return np.array([(p[:, None] + q <= p[i] + q[j]).sum() for p, q, i, j in zip(a, b, c.argmin(1), d.argmin(1))])
+
     def _needed(self, x: np.ndarray, labels: np.ndarray, cosine: float, recall: float) -> int:
-        rng, most = np.random.default_rng(2), len(self.books[0]) * len(self.books[1])
+        rng = np.random.default_rng(2)
         base = x[rng.choice(len(x), min(len(x), 1500), replace=False)]
         c = rng.uniform(cosine, 1, len(base))[:, None]
         z = rng.normal(size=base.shape)
@@ -103,13 +108,9 @@ class MultiIndex:
         firsts, seconds = np.concatenate(firsts), np.concatenate(seconds)
         pick = rng.permutation(len(firsts))[:1500]
         sides.append((x[firsts[pick]], x[seconds[pick]]))
-        count, need = min(most, 64), 1
-        for u, v in sides:
-            if len(u):
-                cu, cv = self.visited(u, count), self.visited(v, count)
-                hit = (cu == cv[:, :1]) | (cv == cu[:, :1])
-                rank = np.sort(np.where(hit.any(1), hit.argmax(1) + 1, count))
-                need = max(need, int(rank[min(len(rank) - 1, int(np.ceil(recall * len(rank))))]))
+        ranks = [np.sort(np.minimum(self.ranks(u, v), self.ranks(v, u))) for u, v in sides if len(u)]
+        need = max([1, *(int(r[min(len(r) - 1, int(np.ceil(recall * len(r))))]) for r in ranks)])
+        self.recalls = [float((r <= need).mean()) for r in ranks]
         return need
 
 

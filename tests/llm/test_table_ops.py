@@ -273,6 +273,18 @@ def test_nearest_cells_are_in_order():
     assert vector_dedup.nearest_cells(a, b, 10) == want.tolist() and len(vector_dedup.nearest_cells(a, b, 99)) == 36
 
 
+def test_as_many_cells_as_the_recall_needs():
+    rng = np.random.default_rng(3)
+    x = vector_dedup.normalised(rng.normal(size=(1500, 64)))
+    index = vector_dedup.MultiIndex(x, np.zeros(len(x)), 2000 * 40**2, 0.5, 0.995)
+    u, z = x[:400], rng.normal(size=(400, 64))
+    z -= (z * u).sum(1, keepdims=True) * u
+    c = rng.uniform(0.5, 1, 400)[:, None]
+    v = c * u + np.sqrt(1 - c * c) * vector_dedup.normalised(z)
+    a, b = index.visited(u, index.visits), index.visited(v, index.visits)
+    assert index.visits > 64 and ((a == b[:, :1]) | (b == a[:, :1])).any(1).mean() >= 0.98
+
+
 # --- quality
 
 @pytest.fixture(scope="module")
