@@ -339,8 +339,10 @@ def internal_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cubic_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = events_set(spark, sf_dir).where("size(series) >= 4").with_column("xs", F.transform("series", lambda x, i: i.cast("double")))
-    return long_form(d.add_cubic_interpolation("out", "xs", "series", [0.5, 1.5, 2.5]).df, ["user_id", "event_type"], "out")
+    """Every series half-way between all of its neighbouring values."""
+    d = events_set(spark, sf_dir).with_column("xs", F.transform("series", lambda x, i: i.cast("double")))
+    d = d.with_column("at", F.transform(F.slice("xs", F.lit(1), F.size("xs") - 1), lambda x: x + 0.5))
+    return long_form(d.add_cubic_interpolation("out", "xs", "series", F.col("at")).df, ["user_id", "event_type"], "out")
 
 
 @query()
@@ -383,8 +385,7 @@ def hierarchical_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = vectors_set(spark, sf_dir).with_column("x", F.slice("x", 1, 8))
-    return d.add_decision_tree("predicted", "x", "label", seed=1)[0].df.select("id", "label", "predicted")
+    return vectors_set(spark, sf_dir).add_decision_tree("predicted", "x", "label", seed=1)[0].df.select("id", "label", "predicted")
 
 
 @query()
