@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -12,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Scratch tables written by this process, by application id.
 _SCRATCH: dict[str, list[str]] = {}
+#: Own folders in local mode, by application id.
+_OWN: dict[str, str] = {}
+#: Most rows of a table that is broadcast for a join; above, Spark's own checks decide.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or our own where that is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; where that is unset, one of our own, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="chronolattice-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="chronolattice-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -40,7 +52,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the scratch tables behind these results of :func:`materialise`, once all that reads them is written."""
+    for df in tables:
+        known = _SCRATCH.get(df.sparkSession.sparkContext.applicationId, [])
+        if df.scratch_path in known:
+            known.remove(df.scratch_path)
+            _delete(df.sparkSession, df.scratch_path)
+
+
+def redealt(name: str) -> Column:
+    """The column, computed anew: a join deals its table out again, and AQE may then split the other side's hot keys.
+
+    Spark splits a join's partition only if both sides come straight from an exchange,
+    which the result of an aggregation by the same key does not.
+    """
+    return F.col(name).bitwiseXOR(F.lit(0).cast("long")).alias(name)
+
+
+def among(df: DataFrame, keys: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` joined with ``keys`` (a written table) by one column; ``keys`` is sent to all tasks if counted to be small.
+
+    ``rows`` is the count to go by if the keys' rows are lists.
+    """
+    rows = keys.count() if rows is None else rows
+    return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, name)
 
 
 def mark(spark: SparkSession) -> int:
@@ -53,12 +99,10 @@ def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> Non
 
     Call it once the results that read them are written.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     tables = _SCRATCH.get(spark.sparkContext.applicationId, [])
     for p in tables[since:]:
         if keep is None or not p.rpartition("/")[2].startswith(f"{keep}-"):
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, p)
             tables.remove(p)
 
 

@@ -130,7 +130,9 @@ def brute_lines(rows):
     def close(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < line_dedup.NEAR_WORDS or abs(len(a) - len(b)) > 1:
+        if max(len(a), len(b)) < line_dedup.FEWEST:
+            a, b = " ".join(a), " ".join(b)
+        if max(len(a), len(b)) < line_dedup.FEWEST or abs(len(a) - len(b)) > 1:
             return False
         p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         return a[p + (len(a) >= len(b)) :] == b[p + (len(b) >= len(a)) :]
@@ -152,14 +154,14 @@ def edited(rng, words):
 
 def test_lines_against_brute_force(spark):
     rng = random.Random(5)
-    base = [[rng.choice("abcdefghijklmnop") for _ in range(rng.choice([3, 8, 9, 12, 20]))] for _ in range(12)] + [["a"] * 9, ["a"] * 10]
+    base = [[rng.choice("abcdefghijklmnop") for _ in range(rng.choice([1, 3, 4, 5, 6, 9, 20]))] for _ in range(16)] + [["a"] * 9, ["a"] * 10]
     texts = []
     for _ in range(40):
         lines = []
         for _ in range(rng.randrange(5)):
             w = rng.choice(base)
             for _ in range(rng.randrange(3)):
-                w = edited(rng, w)
+                w = edited(rng, w) if w else w
             lines.append(rng.choice([" ", "  ", "\t"]).join(w))
         texts.append("\n".join(lines))
     rows = list(enumerate(texts))
@@ -174,6 +176,25 @@ def test_lines_against_brute_force(spark):
     assert {r.doc_id for r in kept} == {d for d, t in rows if not any(x[0] == d for x in gone) or any((d, k) not in gone and s.strip() for k, s in enumerate(t.split("\n")))}
 
 
+def test_short_lines_against_brute_force(spark):
+    rng = random.Random(6)
+    base = ["abcde", "ab cd", "page 12", "Copyright 2023 Example Inc.", "a b c d", "ab cd ef gh", "ab cd ef gh ij", "über uns \U0001d49c", "abcd", "1.", "aaaaa", "aaaaaa"]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randrange(6)):
+            line = list(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                line = edited(rng, line) if line else line
+            lines.append("".join(line))
+        texts.append("\n".join(lines))
+    gone = brute_lines(list(enumerate(texts)))
+    got = {r.doc_id: r.lines_gone for r in line_dedup.line_report(docs(spark, texts)).collect()}
+    assert got == {d: sum(x[0] == d for x in gone) for d in range(len(texts))}
+    same = ["Copyright 2023 Example Inc.", "Copyright 2024 Example Inc.", "one two three four five", "one two three four", "ab cd", "ab ce", "ab", "ac"]
+    assert [r.lines_gone for r in line_dedup.line_report(docs(spark, same)).orderBy("doc_id").collect()] == [0, 1, 0, 1, 0, 1, 0, 0]
+
+
 def test_line_edges(spark):
     long_line = " ".join(f"w{i}" for i in range(5000))
     texts = ["a\n\na", None, "", "same\nline", "same\nline", long_line, long_line.replace("w70 ", ""), "x"]
