@@ -68,23 +68,15 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("doc_key").alias("key"), F.col("line_no").alias("line"))
 
 
-def halves(tokens: Column, n: Column, kind: int, fewest: int = FEWEST) -> Column:
-    """Keys of a line's halves: as one of n tokens, and as one that has lost a token of n + 1; null where it may have neither part."""
+def halves(tokens: Column, n: Column, kind: Column) -> list[Column]:
+    """Keys of a line's halves: as one of n tokens, and as one that has lost a token of n + 1."""
 
-    def pair(of: Column) -> Column:
+    def pair(of: Column) -> list[Column]:
         cut = F.shiftright(of, 1)
         rest = of - cut
-        return F.array(F.xxhash64(F.lit(2 * kind), of, F.slice(tokens, F.lit(1), cut)), F.xxhash64(F.lit(2 * kind + 1), of, F.slice(tokens, n - rest + 1, rest)))
+        return [F.xxhash64(kind, F.lit(1), of, F.slice(tokens, F.lit(1), cut)), F.xxhash64(kind, F.lit(2), of, F.slice(tokens, n - rest + 1, rest))]
 
-    return F.when(n >= fewest, F.concat(pair(n), pair(n + 1))).when(n == fewest - 1, pair(n + 1))
-
-
-def _line_halves(words: Column, n: Column) -> Column:
-    """Keys of all the parts that a line can share with one within the edit bound; null if it can have none."""
-    chars = characters(words)
-    small = halves(chars, F.size(chars), CHARACTER)
-    few = F.coalesce(small, F.array().cast("array<long>"))
-    return F.when(n >= FEWEST, halves(words, n, WORD)).when(n == FEWEST - 1, F.concat(halves(words, n, WORD), few)).otherwise(small)
+    return pair(n) + pair(n + 1)
 
 
 def _hashed(words: Column) -> list[Column]:
@@ -95,7 +87,15 @@ def _all_lines(docs: DataFrame) -> DataFrame:
     """Lines with words of docs (doc_id, doc_key, text): doc_id, doc_key, line_no, h1, h2, halves."""
     lines = docs.select("doc_id", "doc_key", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line"))
     lines = lines.where(F.col("line").rlike(r"[^ \t\x0b\x0c\r]")).select("doc_id", "doc_key", "line_no", once(line_words(F.col("line"))).alias("words"))
-    return lines.select("doc_id", "doc_key", "line_no", *_hashed(F.col("words")), _line_halves(F.col("words"), F.size("words")).alias("halves"))
+    # Four words meet five as words, and others as characters.
+    n, m = F.size("words"), F.size("tokens")
+    kind = F.when(n >= FEWEST, F.lit(WORD)).otherwise(F.lit(CHARACTER))
+    as_words = F.when(n == FEWEST - 1, F.array(*halves(F.col("words"), n, F.lit(WORD))[2:]))
+    tokens = F.when(n >= FEWEST, F.col("words")).otherwise(characters(F.col("words")))
+    lines = lines.select("doc_id", "doc_key", "line_no", *_hashed(F.col("words")), kind.alias("kind"), as_words.alias("as_words"), once(tokens).alias("tokens"))
+    own = F.when(m >= FEWEST - 1, F.array(*halves(F.col("tokens"), m, F.col("kind"))))
+    lines = lines.select("doc_id", "doc_key", "line_no", "h1", "h2", "as_words", once(own).alias("own"))
+    return lines.select("doc_id", "doc_key", "line_no", "h1", "h2", F.coalesce(F.concat("own", "as_words"), "own", "as_words").alias("halves"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
