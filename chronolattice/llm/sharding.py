@@ -5,13 +5,15 @@ of shards at the matching quantile) along its widest metadata axis, until each
 leaf is one shard.  Widths are relative to the axis's extent over all rows.
 Medians are exact to a 30-bit key and distributed: two passes, each a map-side
 histogram of at most 32,768 bins per node, of which one row per node is kept.
-The key is the axis value followed by a hash of the document id, so a value or
-a group of copies that holds any share of the rows is split too.  Only slim
-rows (id, size, axes) pass between the levels, never texts.
+The key is the axis value followed by a hash of the document id, the text and
+the row's place in the files, so a value, an id or a group of equal texts that
+holds any share of the rows is split too: the law is ``bytes``, and groups are
+kept together by no law but ``key``.  Only slim rows (id, size, axes) pass between
+the levels, never texts.
 
 Axes: a string's first six bytes read as a number, a number as it is; null
-lies lowest.  Edge cases.  Null text: size 1.  Rows that repeat an id share a
-key and stay together.  An empty table gives an empty result.  Slots are
+lies lowest.  Edge cases.  Null text: size 1.  Rows that repeat an id and a text
+are dealt out one by one.  An empty table gives an empty result.  Slots are
 gapless from 0 in each shard, counted in (shard, hash bucket) groups of which
 no task gets a whole shard.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialise
+from ._common import discard, materialise
 
 BITS = 15
 BINS = 1 << BITS
@@ -52,24 +54,30 @@ def _histogram(rows: DataFrame, bin_: Column) -> DataFrame:
     return bins.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("bin", "bytes"))).alias("bins"))
 
 
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str, axes: Sequence[str], leaves: int) -> DataFrame:
+    """doc_id, size, text_crc32, axes, tie, and the root they start in: node 0 with ``leaves`` shards."""
+    text = docs[text_col]
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    names = [a for a in axes if a in docs.columns]
+    values = F.array(*[axis_of(docs, a) for a in names], F.log2(size.cast("double")))
+    tie = F.shiftrightunsigned(F.xxhash64(F.lit(7), docs[id_col], text, F.monotonically_increasing_id()), 64 - BITS).cast("int")
+    crc = F.crc32(F.coalesce(text, F.lit("")))
+    return docs.select(docs[id_col].alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), values.alias("axes", metadata={"names": [*names, "size"]}), tie.alias("tie"), F.lit(0).alias("node"), F.lit(leaves).alias("leaves"))
+
+
 def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", axes: Sequence[str] = ("lang", "source")) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot.
 
     Give the number of shards, or ``target_bytes`` for as many as the total needs.
     """
-    text = docs[text_col]
-    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    values = [*[axis_of(docs, a) for a in axes if a in docs.columns], F.log2(size.cast("double"))]
-    tie = F.shiftrightunsigned(F.xxhash64(F.lit(7), docs[id_col]), 64 - BITS).cast("int")
-    slim = docs.select(docs[id_col].alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.array(*values).alias("axes"), tie.alias("tie"))
-    rows = materialise(slim, "kd-rows")
-    n = len(values)
+    written = rows = materialise(keyed_rows(docs, id_col, text_col, axes, 0 if shards is None else shards), "kd-rows")
+    n = len(rows.schema["axes"].metadata["names"])
     extent = [f(F.col("axes")[k]).alias(f"{name}{k}") for k in range(n) for f, name in ((F.min, "lo"), (F.max, "hi"))]
     whole = rows.agg(F.sum("size").alias("total"), *extent).first()
     if shards is None:
         shards = max(1, -(-(whole["total"] or 0) // target_bytes))
+        rows = rows.withColumn("leaves", F.lit(shards))
     spans = [max((whole[f"hi{k}"] or 0) - (whole[f"lo{k}"] or 0), 0) for k in range(n)]
-    rows = rows.withColumns({"node": F.lit(0), "leaves": F.lit(shards)})
     for _ in range(max(0, shards - 1).bit_length()):
         open_ = rows.where("leaves > 1")
         state = open_.groupBy("node").agg(F.sum("size").alias("total"), F.max("leaves").alias("of"), *extent)
@@ -89,12 +97,14 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
         half = F.floor(F.col("leaves") / 2).cast("int")
         moved = joined.select("doc_id", "size", "text_crc32", "axes", "tie", (F.col("node") + F.when((F.col("leaves") > 1) & ~left, half).otherwise(0)).alias("node"), F.when(F.col("leaves") == 1, F.lit(1)).when(left, half).otherwise(F.col("leaves") - half).alias("leaves"))
         rows = materialise(moved, "kd-rows")
+        discard(written, state, first, cuts)
+        written = rows
     return slots(rows)
 
 
 def slots(rows: DataFrame) -> DataFrame:
     """Adds gapless slots in each node, and names it shard."""
-    rows = rows.withColumn("bucket", F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 64 - (SLOT_BUCKETS - 1).bit_length()).cast("int"))
+    rows = rows.withColumn("bucket", F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "tie"), 64 - (SLOT_BUCKETS - 1).bit_length()).cast("int"))
     counts = rows.groupBy("node", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("node", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

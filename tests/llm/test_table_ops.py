@@ -113,6 +113,42 @@ def test_shards(spark, mixed):
     assert sharding.kd_shards(df.limit(0)).count() == 0
 
 
+def brute_kd(rows, leaves, spans, first=0):
+    """Shard of each row (size, axes, tie, number): the sorted keys are cut at the boundary nearest to the goal."""
+    if leaves == 1:
+        return {r[3]: first for r in rows}
+    lows = [min(r[1][k] for r in rows) for k in range(len(spans))]
+    widths = [(max(r[1][k] for r in rows) - lows[k]) / (spans[k] or 1.0) for k in range(len(spans))]
+    axis = widths.index(max(widths))
+    span = widths[axis] * spans[axis]
+    goal = sum(r[0] for r in rows) * (leaves // 2) // leaves
+    key = lambda r: (min(int((r[1][axis] - lows[axis]) / span * sharding.BINS), sharding.BINS - 1) if span > 0 else 0, r[2])
+    keys, sums = sorted({key(r) for r in rows}), Counter()
+    for r in rows:
+        sums[key(r)] += r[0]
+    below = [sum(sums[k] for k in keys[:n]) for n in range(len(keys) + 1)]
+    cut = min(range(len(keys) + 1), key=lambda n: (abs(below[n] - goal), n))
+    small = set(keys[:cut])
+    left, right = [r for r in rows if key(r) in small], [r for r in rows if key(r) not in small]
+    return (brute_kd(left, leaves // 2, spans, first) if left else {}) | (brute_kd(right, leaves - leaves // 2, spans, first + leaves // 2) if right else {})
+
+
+def test_shards_against_brute_force(spark, mixed):
+    df = mixed[1].where("doc_id is not null").dropDuplicates(["doc_id"]).coalesce(1).sortWithinPartitions("doc_id")
+    df = spark.createDataFrame(df.collect(), df.schema).coalesce(1)
+    keyed = sharding.keyed_rows(df, "doc_id", "text", ("lang", "source"), 8).collect()
+    spans = [max(r.axes[k] for r in keyed) - min(r.axes[k] for r in keyed) for k in range(3)]
+    for n in (8, 5):
+        want = brute_kd([(r.size, r.axes, r.tie, r.doc_id) for r in keyed], n, spans)
+        assert {r.doc_id: r.shard for r in sharding.kd_shards(df, shards=n).collect()} == want
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    df = spark.range(640).selectExpr("7L AS doc_id", "'same text' AS text", "'en' AS lang", "'web' AS source")
+    counts = [r[1] for r in sharding.kd_shards(df).groupBy("shard").count().collect()]
+    assert len(counts) == 8 and max(counts) - min(counts) <= 2
+
+
 def test_hot_value_is_split_evenly(spark):
     df = spark.range(2000).selectExpr("id AS doc_id", "'same text' AS text", "'en' AS lang", "if(id < 1800, 'hot', 'x') AS source")
     sizes = sharding.kd_shards(df).groupBy("shard").agg(F.sum("size")).collect()
