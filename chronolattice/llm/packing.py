@@ -1,18 +1,23 @@
 """Packing tokenised documents into sequences by order-preserving dynamic programming.
 
 The documents of a partition, in their order, form one token stream.  Windows
-of at most ``length`` tokens cut it at document ends (free), sentence ends (a
-small penalty) or, so that long sentences fit, at every ``STRIDE``-th token (a
-larger one).  The programme minimises padding plus penalties; with
-g = padding so far + position, the best cut before a candidate is the least g
-in the last ``length`` tokens, which a monotone queue yields in constant time.
-Blocks of ``BLOCK`` tokens are solved in turn: the best cut in a block's last
-window is kept and what follows it joins the next block, so memory is bounded
-however long the partition.
+of at most ``length`` tokens cut it at document ends (free) or sentence ends (a
+penalty); where neither lies within ``length`` tokens of the last one, a window
+is filled and cut inside the sentence.  The programme minimises padding plus
+penalties; with g = padding so far + position, the best cut before a candidate is
+the least g in the last ``length`` tokens, which a monotone queue yields in
+constant time.
+
+Memory is bounded without loss: when ``BLOCK`` tokens are in hand, the ways back
+from all cuts that a later window can start at are followed to where they meet;
+up to there the best cuts are settled whatever follows, and are written out.  In
+practice they meet within a few windows; if they do not, more is read first.
 
 No shuffle: every partition packs what it reads, in the order it reads it, and
-numbers its sequences from ``partition << 40``; only the last sequence of a
-partition has padding to speak of.  A partition read anew gives the same rows.
+numbers its sequences from ``partition << 40``; a partition read anew gives the
+same rows.  Which documents share a sequence depends on how Spark splits the
+files: another split gives another packing, and each partition ends in a
+sequence of its own.
 
 Edge cases.  Null and empty texts are one token (the closing id 0).  Rows that
 repeat an id are documents of their own.  Texts are taken whole, at any length.
@@ -33,8 +38,8 @@ from pyspark.sql import DataFrame
 
 LENGTH = 1024
 END_ID = 0
-STRIDE = 32
-SENTENCE_PENALTY, TOKEN_PENALTY = 4, 24
+#: A cut at a sentence end costs as much as this share of a window in padding.
+SENTENCE_PENALTY = 1 / 256
 BLOCK = 1 << 18
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -105,21 +110,40 @@ def best_cuts(positions: list[int], penalties: list[int], length: int = LENGTH)
     return g, back
 
 
-def windows(tokens: np.ndarray, document_ends: np.ndarray, sentence: np.ndarray, last: bool, length: int = LENGTH) -> np.ndarray:
-    """Ends of the windows of a block. Unless it is the ``last`` one, the best cut in its final window ends them."""
-    n = len(tokens)
+def candidates(n: int, document_ends: np.ndarray, sentence_ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Where a stream of n tokens may be cut, and the penalties: at ends and, where they lie too far apart, at full windows between."""
     penalty = np.full(n + 1, -1, np.int64)
-    penalty[STRIDE::STRIDE] = TOKEN_PENALTY
-    penalty[np.flatnonzero(sentence[tokens]) + 1] = SENTENCE_PENALTY
+    cost = round(SENTENCE_PENALTY * length)
+    penalty[sentence_ends] = cost
     penalty[document_ends] = 0
     penalty[0] = -1
     at = np.flatnonzero(penalty >= 0)
+    before = np.concatenate(([0], at[:-1]))
+    for a, b in zip(before[at - before > length].tolist(), at[at - before > length].tolist()):
+        penalty[a + length : b : length] = cost
+    at = np.flatnonzero(penalty >= 0)
+    return at, penalty[at]
+
+
+def settled(positions: list[int], back: list[int], n: int, length: int = LENGTH) -> int:
+    """The last candidate that the best cuts of every continuation of the stream go through (-1: only the start)."""
+    live = {k for k in range(len(positions)) if positions[k] > n - length}
+    if n <= length:
+        live.add(-1)
+    while len(live) > 1:
+        last = max(live)
+        live.remove(last)
+        live.add(back[last])
+    return live.pop() if live else -1
+
+
+def windows(tokens: np.ndarray, document_ends: np.ndarray, sentence: np.ndarray, last: bool, length: int = LENGTH) -> np.ndarray:
+    """Ends of the windows of the tokens in hand; unless they are the ``last``, of the settled ones alone."""
+    n = len(tokens)
+    at, penalties = candidates(n, document_ends, np.flatnonzero(sentence[tokens]) + 1, length)
     positions = at.tolist()
-    g, back = best_cuts(positions, penalty[at].tolist(), length)
-    k = len(positions) - 1
-    if not last:
-        first = int(np.searchsorted(at, n - length, side="right"))
-        k = min(range(first, len(positions)), key=lambda i: (g[i] - positions[i], -positions[i]))
+    _, back = best_cuts(positions, penalties.tolist(), length)
+    k = len(positions) - 1 if last else settled(positions, back, n, length)
     ends = []
     while k >= 0:
         ends.append(positions[k])
@@ -135,14 +159,14 @@ class Packer:
         self.tokens: list[np.ndarray] = []
         #: Of each document in hand: number, tokens before what is in hand, tokens in all.
         self.docs: list[tuple[object, int, int]] = []
-        self.size = 0
+        self.size, self.full = 0, max(BLOCK, 4 * length)
 
     def add(self, doc: object, ids: np.ndarray) -> bool:
         """Takes a document; true if a block is full."""
         self.tokens.append(ids)
         self.docs.append((doc, 0, len(ids)))
         self.size += len(ids)
-        return self.size >= max(BLOCK, 4 * self.length)
+        return self.size >= self.full
 
     def flush(self, last: bool) -> dict[str, list]:
         """Pieces of the block in hand."""
@@ -152,6 +176,9 @@ class Packer:
         tokens = np.concatenate(self.tokens)
         doc_ends = np.cumsum([total - before for _, before, total in self.docs])
         ends = windows(tokens, doc_ends, self.sentence, last, self.length)
+        self.full = max(BLOCK, 4 * self.length) if len(ends) else 2 * self.size
+        if not len(ends):
+            return out
         stop = int(ends[-1])
         edges = np.unique(np.concatenate((ends, doc_ends[doc_ends <= stop])))
         starts = np.concatenate(([0], edges[:-1]))

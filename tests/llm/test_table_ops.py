@@ -200,6 +200,38 @@ def test_windows_are_optimal():
         assert [x - p for x, p in zip(g, positions)] == [best[p] for p in positions]
 
 
+def test_blocks_cut_as_the_whole_stream_does(monkeypatch):
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        sentence = rng.random(50) < (0.1, 0.03, 0.002)[seed % 3]
+        docs = [rng.integers(0, 50, rng.integers(1, 300)).astype(np.uint32) for _ in range(80)]
+        found = []
+        for block in (1 << 30, 256, 700):
+            monkeypatch.setattr(packing, "BLOCK", block)
+            p, rows = packing.Packer(sentence, 0, 64), []
+            for k, v in enumerate(docs):
+                if p.add(k, v):
+                    rows += list(zip(*p.flush(False).values()))
+            found.append(rows + list(zip(*p.flush(True).values())))
+        assert found[0] == found[1] == found[2]
+        ends = np.cumsum([len(v) for v in docs])
+        stops = np.flatnonzero(sentence[np.concatenate(docs)]) + 1
+        at, penalties = packing.candidates(int(ends[-1]), ends, stops, 64)
+        natural = {*ends.tolist(), *stops.tolist()}
+        assert natural <= set(at.tolist())
+        forced = sorted(set(at.tolist()) - natural)
+        assert all(not any(x - 64 < e <= x for e in natural) for x in forced)
+        best = {0: 0}
+        for x, q in zip(at.tolist(), penalties.tolist()):
+            best[x] = min(best[j] + 64 - (x - j) + q for j in best if 0 < x - j <= 64)
+        spent = defaultdict(int)
+        for _, _, length, _, _, seq, _ in found[0]:
+            spent[seq] += length
+        cuts = np.cumsum([spent[k] for k in sorted(spent)])
+        cost = sum(64 - spent[k] for k in spent) + sum(dict(zip(at.tolist(), penalties.tolist()))[c] for c in cuts.tolist())
+        assert cost == best[int(ends[-1])]
+
+
 def test_blocks_join_without_loss(monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 500)
     rng = np.random.default_rng(0)
@@ -218,7 +250,8 @@ def test_blocks_join_without_loss(monkeypatch):
         seen[doc] += length
         used[seq] += length
     assert seen == {k: len(v) for k, v in ids.items()} and min(used) == 7 and max(used.values()) <= 64
-    assert sum(used.values()) / (64 * len(used)) > 0.9
+    # The fill that cuts at ends alone allow; that it is the best one is tested against brute force above.
+    assert sum(used.values()) / (64 * len(used)) > 0.85
 
 
 # --- media
