@@ -1,19 +1,17 @@
 """Quality classifier: random-indexing word vectors, pooled per document, into a two-layer network.
 
-Words and runs of signs are hashed into ``BUCKETS`` buckets.  Every bucket has
-a sparse ternary index vector; its context vector is the sum of the index
-vectors of its neighbours over the whole corpus.  Partitions count neighbour
-pairs, project them, and add their sums up in two rounds of salted shuffles, so
-what reaches the driver is one BUCKETS x (DIM + 1) matrix at any input size.  A
-word's vector is its normalised context vector beside its index vector,
-frequent words weighing less.  A document's is the mean over its words, its
-concentration (squared length of the mean over the words' mean squared length:
-1 for one word repeated, near 0 for varied text), the share of words that
-repeat the one before, and its length.  A network
-of one hidden layer is trained with numpy on at most ``SAMPLE`` labelled
-documents (those of least hash; a parameter), a fifth of them kept aside to fit
-the temperature that calibrates its probabilities.  Labels come only from rows
-whose crc32(id) mod 4 is not 2; id, language, source and label are no inputs.
+Words and runs of signs are hashed into 2**``BITS`` buckets.  Every bucket has a
+sparse ternary index vector; its context vector is the sum of the index vectors
+of its neighbours over the whole corpus.  Partitions add up what their own words
+meet, as exact integers, and send the entries that are not zero; two rounds of
+salted shuffles add those up, so what reaches the driver is one matrix of 2**BITS
+rows at any input size.  A word's vector is its context vector at length 1.  A
+document's is pooled from its words': their mean, their deviation, and the root
+mean square step from each to the next, dimension by dimension.  A network of one
+hidden layer is trained with numpy on at most ``SAMPLE`` labelled documents (those
+of least hash; a parameter), a fifth of them kept aside to fit the temperature
+that calibrates its probabilities.  Labels come only from rows whose crc32(id)
+mod 4 is not 2; id, language, source and label are no inputs.
 
 Edge cases.  Null and empty texts have the zero vector and get its score.  Null
 labels are left out; an id labelled twice counts by its mean.  Without labels of
@@ -25,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,112 +31,117 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import SIGNS, chunks, word_hashes
+from ._words import SIGNS, chunks, mix, word_hashes
 
-BUCKETS = 4096
+BITS = 18
+BUCKETS = 1 << BITS
 DIM = 64
 NONZERO = 4
 HIDDEN = 32
 #: Inputs of the network.
-WIDTH = 2 * DIM + 4
+WIDTH = 3 * DIM
 #: Most labelled documents that the network is trained on.
 SAMPLE = 20_000
 THRESHOLD = 0.7
 EPOCHS = 40
-SMOOTH = 1e-2
 _ROWS = 256
 _SALTS = 16
+#: Words whose vectors are in hand at once.
+_PIECE = 1 << 15
 
 
-def index_vectors(seed: int = 5) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    r = np.zeros((BUCKETS, DIM), np.float32)
-    for row in r:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return r / np.sqrt(NONZERO)
+@cache
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket's index vector: where it is not zero (one place in each of NONZERO parts), and the signs there."""
+    b = np.arange(BUCKETS, dtype=np.uint64)[:, None] * np.uint64(NONZERO) + np.arange(NONZERO, dtype=np.uint64)
+    h, part = mix(b + np.uint64(0x5851F42D4C957F2D)), DIM // NONZERO
+    places = np.arange(NONZERO) * part + (h % np.uint64(part)).astype(np.int64)
+    return places, np.where(h >> np.uint64(63), 1, -1).astype(np.int32)
 
 
 def buckets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h, doc = word_hashes(texts, SIGNS)
-    return (h >> np.uint64(64 - 12)).astype(np.int64), doc
+    return (h >> np.uint64(64 - BITS)).astype(np.int64), doc
+
+
+def add_contexts(sums: np.ndarray, texts: list[bytes]) -> None:
+    """Adds to each bucket's row its neighbours' index vectors, and in the last column how often it occurs."""
+    w, doc = buckets_of(texts)
+    places, signs = index_vectors()
+    flat, together = sums.reshape(-1), doc[1:] == doc[:-1]
+    for of, other in ((w[:-1][together], w[1:][together]), (w[1:][together], w[:-1][together])):
+        for k in range(NONZERO):
+            np.add.at(flat, of * (DIM + 1) + places[other, k], signs[other, k])
+    np.add.at(flat, w * (DIM + 1) + DIM, 1)
 
 
 def context_sums(docs: DataFrame, text_col: str) -> np.ndarray:
     """BUCKETS x (DIM + 1): sums of neighbours' index vectors, and the bucket's count, over all documents."""
-    texts = docs.select(docs[text_col].alias("text"))
+    texts, schema = docs.select(docs[text_col].alias("text")), "part int, salt int, places binary, sums binary"
+
+    def batch(part: int, salt: int, sums: np.ndarray) -> pa.RecordBatch:
+        places = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([places.astype(np.uint16).tobytes()], pa.binary()), pa.array([sums[places].tobytes()], pa.binary())], ["part", "salt", "places", "sums"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, counts = np.zeros(BUCKETS * BUCKETS, np.int32), np.zeros(BUCKETS, np.int64)
+        sums = np.zeros((BUCKETS, DIM + 1), np.int32)
         for b in batches:
             for _, part in chunks(t.encode() for t in b.column(0).to_pylist() if t):
-                w, doc = buckets_of(part)
-                together = doc[1:] == doc[:-1]
-                np.add.at(pairs, (w[:-1] * BUCKETS + w[1:])[together], 1)
-                counts += np.bincount(w, minlength=BUCKETS)
-        if counts.any():
-            n, r = pairs.reshape(BUCKETS, BUCKETS), index_vectors()
-            sums = np.zeros((BUCKETS, DIM + 1))
-            for k in range(0, BUCKETS, 512):
-                sums[k : k + 512, :DIM] += n[k : k + 512].astype(np.float32) @ r
-                sums[:, :DIM] += n[k : k + 512].T.astype(np.float32) @ r[k : k + 512]
-            sums[:, DIM] = counts
-            parts = range(0, BUCKETS, _ROWS)
-            salt = int(counts.sum()) % _SALTS
-            yield pa.RecordBatch.from_arrays([pa.array([k // _ROWS for k in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([sums[k : k + _ROWS].tobytes() for k in parts], pa.binary())], ["part", "salt", "sums"])
+                add_contexts(sums, part)
+        salt = int(sums[:, DIM].sum()) % _SALTS
+        for k in np.flatnonzero(sums[:, DIM].reshape(-1, _ROWS).any(1)):
+            yield batch(int(k), salt, sums[k * _ROWS : (k + 1) * _ROWS].ravel().astype(np.int64))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        key, held = None, np.zeros(0, np.int64)
         for b in batches:
-            for part, salt, raw in zip(*[c.to_pylist() for c in b.columns]):
-                x = np.frombuffer(raw)
-                held[part, salt] = held[part, salt] + x if (part, salt) in held else x
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([0] * len(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "salt", "sums"])
-
-    schema = "part int, salt int, sums binary"
-    partial = texts.mapInArrow(count, schema).repartition("part", "salt").mapInArrow(add, schema)
-    total = np.zeros((BUCKETS, DIM + 1))
-    for row in partial.repartition("part").mapInArrow(add, schema).collect():
-        total[row.part * _ROWS : (row.part + 1) * _ROWS] += np.frombuffer(row.sums).reshape(_ROWS, DIM + 1)
-    return total
+            for part, salt, places, raw in zip(*[c.to_pylist() for c in b.columns]):
+                if (part, salt) != key:
+                    if key:
+                        yield batch(key[0], 0, held)
+                    key, held = (part, salt), np.zeros(_ROWS * (DIM + 1), np.int64)
+                held[np.frombuffer(places, np.uint16)] += np.frombuffer(raw, np.int64)
+        if key:
+            yield batch(key[0], 0, held)
+
+    partial = texts.mapInArrow(count, schema).repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(add, schema)
+    total = np.zeros((BUCKETS // _ROWS, _ROWS * (DIM + 1)), np.float32)
+    for row in partial.repartition("part").sortWithinPartitions("part").mapInArrow(add, schema).toLocalIterator(prefetchPartitions=True):
+        total[row.part, np.frombuffer(row.places, np.uint16)] = np.frombuffer(row.sums, np.int64)
+    return total.reshape(BUCKETS, DIM + 1)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """BUCKETS x (2 DIM + 1): rows weighted against frequent words, and their squared lengths."""
-    context, counts = sums[:, :DIM], sums[:, DIM]
+    """BUCKETS x DIM: context vectors of length 1."""
+    context = sums[:, :DIM]
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = np.concatenate((np.divide(context, norm, out=np.zeros_like(context), where=norm > 0), index_vectors()), axis=1)
-    share = counts / max(counts.sum(), 1.0)
-    vectors = vectors * (SMOOTH / (SMOOTH + share))[:, None]
-    return np.concatenate((vectors, (vectors**2).sum(1, keepdims=True)), axis=1).astype(np.float32)
+    return np.divide(context, norm, out=np.zeros_like(context), where=norm > 0).astype(np.float16)
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean word vector of each text, and the share of its words that repeat the one before."""
-    out, repeats = np.zeros((len(texts), vectors.shape[1]), np.float32), np.zeros(len(texts))
+def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+    """WIDTH inputs of each text: mean, deviation and step of its words' vectors."""
+    out = np.zeros((len(texts), WIDTH))
     for start, part in chunks(texts):
         w, doc = buckets_of(part)
-        if len(w):
-            again = doc[1:][(doc[1:] == doc[:-1]) & (w[1:] == w[:-1])]
-            repeats[start : start + len(part)] = np.bincount(again, minlength=len(part)) / np.maximum(np.bincount(doc, minlength=len(part)), 1)
-            present, first, n = np.unique(doc, return_index=True, return_counts=True)
-            for k in range(0, len(present), 64):  # a few documents at a time: the gathered vectors stay small
-                a, b = first[k], first[k + 64] if k + 64 < len(present) else len(w)
-                for lo in range(a, b, 1 << 16):
-                    hi = min(b, lo + (1 << 16))
-                    own = np.searchsorted(first[k : k + 64], lo, side="right") - 1 + k
-                    stops = np.concatenate(([lo], first[own + 1 : k + 64][first[own + 1 : k + 64] < hi]))
-                    out[start + present[own : own + len(stops)]] += np.add.reduceat(vectors[w[lo:hi]], stops - lo, axis=0)
-            out[start + present] /= n[:, None]
-    return out, repeats
-
-
-def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """WIDTH inputs of each text."""
-    means, repeats = pooled(texts, vectors)
-    p = means.astype(np.float64)
-    concentration = (p[:, :-1] ** 2).sum(1) / np.maximum(p[:, -1], 1e-12)
-    length = np.log1p(np.fromiter(map(len, texts), float, len(texts)))
-    return np.concatenate((p[:, :-1], concentration[:, None], np.log(concentration + 1e-3)[:, None], repeats[:, None], length[:, None]), axis=1)
+        sums = np.zeros((3, len(part), DIM))
+        for lo in range(0, len(w), _PIECE):
+            hi = min(len(w), lo + _PIECE)
+            v = vectors[w[max(lo - 1, 0) : hi]].astype(np.float32)
+            own = v[min(lo, 1) :]
+            present, first = np.unique(doc[lo:hi], return_index=True)
+            sums[0][present] += np.add.reduceat(own, first, axis=0)
+            sums[1][present] += np.add.reduceat(own * own, first, axis=0)
+            steps = np.diff(v, axis=0)
+            after = doc[max(lo, 1) : hi]
+            same = after == doc[max(lo, 1) - 1 : hi - 1]
+            if same.any():
+                present, first = np.unique(after[same], return_index=True)
+                sums[2][present] += np.add.reduceat(steps[same] ** 2, first, axis=0)
+        n = np.bincount(doc, minlength=len(part))[:, None]
+        mean = sums[0] / np.maximum(n, 1)
+        deviation = np.sqrt(np.maximum(sums[1] / np.maximum(n, 1) - mean**2, 0))
+        out[start : start + len(part)] = np.concatenate((mean, deviation, np.sqrt(sums[2] / np.maximum(n - 1, 1))), axis=1)
+    return out
 
 
 @dataclass

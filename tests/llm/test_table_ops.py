@@ -397,11 +397,29 @@ def test_quality_edges(spark, graded):
     assert quality.assess(df.limit(0), labels).count() == 0
 
 
-def test_pooling_is_the_mean():
-    v = np.random.default_rng(0).random((quality.BUCKETS, 6)).astype(np.float32)
-    texts = [b"a b, c", b"", b"a b " * 5000, b" ", b"x!"] * 40
-    got, repeats = quality.pooled(texts, v)
-    for t, g, r in zip(texts, got, repeats):
-        w = quality.buckets_of([t])[0]
-        assert r == pytest.approx((w[1:] == w[:-1]).sum() / max(len(w), 1))
-        np.testing.assert_allclose(g, v[w].mean(0) if len(w) else 0, atol=2e-3)
+def test_pooling_against_brute_force(monkeypatch):
+    v = np.random.default_rng(0).normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float16)
+    texts = [b"a b, c", b"", b"a b " * 5000, b" ", b"x!", b"one"] * 40
+    for piece in (1 << 15, 7):
+        monkeypatch.setattr(quality, "_PIECE", piece)
+        some = texts if piece > 7 else texts[:2] + texts[3:6] + [b"a b c d e f g h i j k l m n o p"] * 3
+        for t, g in zip(some, quality.features(some, v)):
+            x = v[quality.buckets_of([t])[0]].astype(np.float64)
+            step = np.sqrt((np.diff(x, axis=0) ** 2).mean(0)) if len(x) > 1 else np.zeros(quality.DIM)
+            want = np.concatenate((x.mean(0), x.std(0), step)) if len(x) else np.zeros(quality.WIDTH)
+            np.testing.assert_allclose(g, want, atol=2e-3)
+
+
+def test_context_sums_against_brute_force(spark, graded):
+    df = graded[1].unionByName(spark.createDataFrame([(7000, None), (7001, ""), (7002, "w " * 300)], "doc_id long, text string"))
+    want = np.zeros((quality.BUCKETS, quality.DIM + 1))
+    places, signs = quality.index_vectors()
+    assert (np.abs(signs) == 1).all() and all(len(set(row)) == quality.NONZERO for row in places[:500].tolist())
+    for r in df.collect():
+        w = quality.buckets_of([(r.text or "").encode()])[0]
+        for k, b in enumerate(w):
+            want[b, quality.DIM] += 1
+            for n in (k - 1, k + 1):
+                if 0 <= n < len(w):
+                    want[b, places[w[n]]] += signs[w[n]]
+    np.testing.assert_array_equal(quality.context_sums(df.repartition(5), "text"), want)
