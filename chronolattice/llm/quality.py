@@ -21,12 +21,13 @@ repeat an id are scored one by one.  Texts are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +46,9 @@ SAMPLE = 20_000
 THRESHOLD = 0.7
 EPOCHS = 40
 _ROWS = 256
-_SALTS = 16
+_SALTS = 4
 #: Words whose vectors are in hand at once.
-_PIECE = 1 << 15
+_PIECE = 1 << 12
 
 
 @cache
@@ -75,13 +76,20 @@ def add_contexts(sums: np.ndarray, texts: list[bytes]) -> None:
     np.add.at(flat, w * (DIM + 1) + DIM, 1)
 
 
-def context_sums(docs: DataFrame, text_col: str) -> np.ndarray:
-    """BUCKETS x (DIM + 1): sums of neighbours' index vectors, and the bucket's count, over all documents."""
-    texts, schema = docs.select(docs[text_col].alias("text")), "part int, salt int, places binary, sums binary"
+def context_sums(docs: DataFrame, text_col: str) -> Iterator[tuple[int, np.ndarray]]:
+    """First bucket and rows of each part that occurs: sums of neighbours' index vectors, and counts, over all documents."""
+    texts = docs.select(docs[text_col].alias("text"))
+    #: Entries under 128 are sent as a byte, all others as 8.
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("salt", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("small", "few", "large", "many")]])
 
     def batch(part: int, salt: int, sums: np.ndarray) -> pa.RecordBatch:
         places = np.flatnonzero(sums)
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([places.astype(np.uint16).tobytes()], pa.binary()), pa.array([sums[places].tobytes()], pa.binary())], ["part", "salt", "places", "sums"])
+        small = np.abs(sums[places]) < 128
+        packed = [x.tobytes() for x in (places[small].astype(np.uint16), sums[places[small]].astype(np.int8), places[~small].astype(np.uint16), sums[places[~small]])]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]], schema.names)
+
+    def parse(small: bytes, few: bytes, large: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate((np.frombuffer(small, np.uint16), np.frombuffer(large, np.uint16))), np.concatenate((np.frombuffer(few, np.int8).astype(np.int64), np.frombuffer(many, np.int64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BUCKETS, DIM + 1), np.int32)
@@ -95,27 +103,46 @@ def context_sums(docs: DataFrame, text_col: str) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, np.zeros(0, np.int64)
         for b in batches:
-            for part, salt, places, raw in zip(*[c.to_pylist() for c in b.columns]):
+            for part, salt, *raw in zip(*[c.to_pylist() for c in b.columns]):
                 if (part, salt) != key:
                     if key:
                         yield batch(key[0], 0, held)
                     key, held = (part, salt), np.zeros(_ROWS * (DIM + 1), np.int64)
-                held[np.frombuffer(places, np.uint16)] += np.frombuffer(raw, np.int64)
+                places, values = parse(*raw)
+                held[places] += values
         if key:
             yield batch(key[0], 0, held)
 
     partial = texts.mapInArrow(count, schema).repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(add, schema)
-    total = np.zeros((BUCKETS // _ROWS, _ROWS * (DIM + 1)), np.float32)
     for row in partial.repartition("part").sortWithinPartitions("part").mapInArrow(add, schema).toLocalIterator(prefetchPartitions=True):
-        total[row.part, np.frombuffer(row.places, np.uint16)] = np.frombuffer(row.sums, np.int64)
-    return total.reshape(BUCKETS, DIM + 1)
+        places, values = parse(*row[2:])
+        sums = np.zeros(_ROWS * (DIM + 1), np.int64)
+        sums[places] = values
+        yield row.part * _ROWS, sums.reshape(_ROWS, DIM + 1)
 
 
-def word_vectors(sums: np.ndarray) -> np.ndarray:
+def word_vectors(parts: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
     """BUCKETS x DIM: context vectors of length 1."""
-    context = sums[:, :DIM]
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return np.divide(context, norm, out=np.zeros_like(context), where=norm > 0).astype(np.float16)
+    out = np.zeros((BUCKETS, DIM), np.float16)
+    for first, sums in parts:
+        norm = np.linalg.norm(sums[:, :DIM], axis=1, keepdims=True)
+        out[first : first + len(sums)] = sums[:, :DIM] / np.maximum(norm, 1)
+    return out
+
+
+def _pooled(w: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean, deviation and step of the vectors of one text's words, a piece of the text at a time."""
+    total, squares, steps = np.zeros((3, DIM))
+    n = len(w)
+    for k in range(0, n, _PIECE):
+        v = vectors[w[max(k - 1, 0) : k + _PIECE]].astype(np.float32, copy=False)
+        d = v[1:] - v[:-1]
+        steps += np.einsum("ij,ij->j", d, d)
+        v = v[min(k, 1) :]
+        total += v.sum(0)
+        squares += np.einsum("ij,ij->j", v, v)
+    mean = total / n
+    return np.concatenate((mean, np.sqrt(np.maximum(squares / n - mean**2, 0)), np.sqrt(steps / max(n - 1, 1))))
 
 
 def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
@@ -123,24 +150,10 @@ def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), WIDTH))
     for start, part in chunks(texts):
         w, doc = buckets_of(part)
-        sums = np.zeros((3, len(part), DIM))
-        for lo in range(0, len(w), _PIECE):
-            hi = min(len(w), lo + _PIECE)
-            v = vectors[w[max(lo - 1, 0) : hi]].astype(np.float32)
-            own = v[min(lo, 1) :]
-            present, first = np.unique(doc[lo:hi], return_index=True)
-            sums[0][present] += np.add.reduceat(own, first, axis=0)
-            sums[1][present] += np.add.reduceat(own * own, first, axis=0)
-            steps = np.diff(v, axis=0)
-            after = doc[max(lo, 1) : hi]
-            same = after == doc[max(lo, 1) - 1 : hi - 1]
-            if same.any():
-                present, first = np.unique(after[same], return_index=True)
-                sums[2][present] += np.add.reduceat(steps[same] ** 2, first, axis=0)
-        n = np.bincount(doc, minlength=len(part))[:, None]
-        mean = sums[0] / np.maximum(n, 1)
-        deviation = np.sqrt(np.maximum(sums[1] / np.maximum(n, 1) - mean**2, 0))
-        out[start : start + len(part)] = np.concatenate((mean, deviation, np.sqrt(sums[2] / np.maximum(n - 1, 1))), axis=1)
+        edges = np.searchsorted(doc, np.arange(len(part) + 1)).tolist()
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a < b:
+                out[start + k] = _pooled(w[a:b], vectors)
     return out
 
 
@@ -209,41 +222,40 @@ def held_out(id_col: Column) -> Column:
 
 @dataclass
 class QualityModel:
-    vectors: np.ndarray
+    #: The word vectors, sent to every executor once.
+    vectors: Broadcast
     network: Network
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        return self.network.scores(features(texts, self.vectors))
-
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    vectors = word_vectors(context_sums(docs, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(context_sums(docs, text_col)))
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull() & ~held_out(labels[id_col]))
     known = known.groupBy(labels[id_col].alias("known_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("truth"))
     known = known.orderBy(F.xxhash64(F.lit(1), "known_id"), "known_id").limit(sample)
     chosen = docs.select(docs[id_col].alias("own_id"), docs[text_col].alias("text")).join(F.broadcast(known), F.col("own_id") == F.col("known_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value.astype(np.float32)
         for b in batches:
-            x = features([(t or "").encode() for t in b.column(2).to_pylist()], shared.value)
+            x = features([(t or "").encode() for t in b.column(2).to_pylist()], own)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "truth", "x"])
 
     rows = chosen.select(F.col("own_id").cast("string").alias("id"), "truth", "text").mapInArrow(run, "id string, truth double, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.x))
     x = np.array([np.frombuffer(r.x) for r in rows]).reshape(len(rows), WIDTH)
-    return QualityModel(vectors, train(x, np.array([r.truth for r in rows])))
+    return QualityModel(shared, train(x, np.array([r.truth for r in rows])))
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text in ``out_col`` (which replaces a column of that name)."""
     kept = docs.drop(out_col) if text_col != out_col else docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, network = model.vectors, model.network
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value.astype(np.float32)
         for b in batches:
-            s = shared.value.scores([(t or "").encode() for t in b.column(at).to_pylist()])
+            s = network.scores(features([(t or "").encode() for t in b.column(at).to_pylist()], own))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out_col])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.DoubleType())]))
