@@ -3,10 +3,12 @@
 Each half of the (normalised) vectors has a codebook of its own; the product of
 the two is a grid of cells.  Codebooks are fitted by k-means on at most
 ``SAMPLE`` vectors (those of least hash; a parameter), and every vector is
-indexed.  A vector visits the cells nearest to it by the multi-sequence
-algorithm.  How many is measured on the sample: enough that pairs of the
-sample, and pairs made at cosines from the threshold to 1, are found with at
-least ``TARGET_RECALL``, be it the whole grid.  Candidates are verified by cosine in double precision.
+indexed.  A vector visits the cells nearest to it in the order of the
+multi-sequence algorithm.  How many is measured on the sample: enough that the
+sample's own pairs, and pairs made at the threshold itself, are found with at
+least ``TARGET_RECALL``, be it the whole grid.  Candidates are verified by cosine
+in double precision.  Codebooks grow with the square root of the table, to a
+sixteenth of the sample: for more than about 3e9 vectors raise ``sample``.
 
 Only vectors of equal label meet.  Cells of any size are dealt in blocks of
 ``BLOCK`` stored vectors by ``CHUNK`` visiting ones, so no task gets a whole hot
@@ -24,7 +26,6 @@ of their own that share the smallest id.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,31 +60,39 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T
 
 
-def nearest_cells(one: np.ndarray, two: np.ndarray, count: int) -> list[int]:
-    """The multi-sequence algorithm: the ``count`` cells of least distance one[i] + two[j], nearest first."""
-    a, b, n = np.argsort(one, kind="stable"), np.argsort(two, kind="stable"), len(two)
-    heap, seen, out = [(one[a[0]] + two[b[0]], 0, 0)], {(0, 0)}, []
-    while heap and len(out) < count:
-        _, i, j = heapq.heappop(heap)
-        out.append(int(a[i]) * n + int(b[j]))
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < n and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(heap, (one[a[p]] + two[b[q]], p, q))
+def nearest_cells(one: np.ndarray, two: np.ndarray, count: int) -> np.ndarray:
+    """For each row, the ``count`` cells (all, if fewer) of least distance one[i] + two[j], nearest first.
+
+    What the multi-sequence algorithm visits, for many rows at once: among the first ``count``
+    cells, the i-th nearest centre of one half meets the j-th of the other only if i * j <= count,
+    for the i * j cells of nearer or equal centres go before or with it.
+    """
+    a, b = np.argsort(one, axis=1, kind="stable"), np.argsort(two, axis=1, kind="stable")
+    count = min(count, one.shape[1] * two.shape[1])
+    i, j = np.nonzero(np.arange(1, one.shape[1] + 1)[:, None] * np.arange(1, two.shape[1] + 1) <= count)
+    order = np.argsort((i + 1) * (j + 1), kind="stable")
+    i, j = i[order], j[order]
+    out, step = np.empty((len(one), count), np.int32), max(1, (1 << 21) // len(i))
+    p, q = np.take_along_axis(one, a, 1), np.take_along_axis(two, b, 1)
+    for k in range(0, len(one), step):
+        rows = slice(k, k + step)
+        sums = p[rows][:, i] + q[rows][:, j]
+        best = np.argpartition(sums, count - 1, axis=1)[:, :count] if count < len(i) else np.broadcast_to(np.arange(count), (len(sums), count))
+        best = np.take_along_axis(best, np.argsort(np.take_along_axis(sums, best, 1), axis=1, kind="stable"), 1)
+        out[rows] = np.take_along_axis(a[rows], i[best], 1) * two.shape[1] + np.take_along_axis(b[rows], j[best], 1)
     return out
 
 
 class MultiIndex:
     def __init__(self, sample: np.ndarray, labels: np.ndarray, total: int, cosine: float, recall: float) -> None:
         self.half = sample.shape[1] // 2
-        k = int(np.clip(round(np.sqrt(total / 2000)), 8, 256))
+        k = int(np.clip(round(np.sqrt(total / 2000)), 8, max(8, len(sample) // 16)))
         self.books = [k_means(h, k) for h in (sample[:, : self.half], sample[:, self.half :])]
         self.visits = self._needed(sample, labels, cosine, recall)
 
     def visited(self, x: np.ndarray, count: int) -> np.ndarray:
         """Cells nearest to each vector, its own first."""
-        one, two = distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])
-        return np.array([nearest_cells(p, q, count) for p, q in zip(one, two)], np.int32)
+        return nearest_cells(distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1]), count)
 
     def ranks(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """As which of its cells, of the whole grid, each vector of u visits that of its partner in v."""
@@ -91,20 +100,20 @@ class MultiIndex:
         return np.array([(p[:, None] + q <= p[i] + q[j]).sum() for p, q, i, j in zip(a, b, c.argmin(1), d.argmin(1))])
 
     def _needed(self, x: np.ndarray, labels: np.ndarray, cosine: float, recall: float) -> int:
+        """Cells to visit, so that of either kind of pairs at least ``recall`` is found from one side or the other."""
         rng = np.random.default_rng(2)
         base = x[rng.choice(len(x), min(len(x), 1500), replace=False)]
-        c = rng.uniform(cosine, 1, len(base))[:, None]
         z = rng.normal(size=base.shape)
         z -= (z * base).sum(1, keepdims=True) * base
-        made = c * base + np.sqrt(1 - c * c) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        made = cosine * base + np.sqrt(1 - cosine * cosine) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         sides = [(base, made)]
-        order = np.argsort(labels, kind="stable")
         firsts, seconds = [], []
-        for i in range(0, len(order), 500):
-            rows, cols = order[i : i + 500], order[i : i + 2000]
-            p, q = np.nonzero((x[rows] @ x[cols].T >= cosine) & (labels[rows][:, None] == labels[cols]) & (rows[:, None] < cols))
-            firsts.append(rows[p])
-            seconds.append(cols[q])
+        for label in np.unique(labels):
+            own = np.flatnonzero(labels == label)
+            for k in range(0, len(own), 500):
+                p, q = np.nonzero(x[own[k : k + 500]] @ x[own].T >= cosine)
+                firsts.append(own[p + k][p + k < q])
+                seconds.append(own[q][p + k < q])
         firsts, seconds = np.concatenate(firsts), np.concatenate(seconds)
         pick = rng.permutation(len(firsts))[:1500]
         sides.append((x[firsts[pick]], x[seconds[pick]]))

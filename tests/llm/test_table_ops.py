@@ -339,7 +339,12 @@ def test_nearest_cells_are_in_order():
     rng = np.random.default_rng(0)
     a, b = rng.random(6), rng.random(6)
     want = np.argsort((a[:, None] + b).ravel(), kind="stable")[:10]
-    assert vector_dedup.nearest_cells(a, b, 10) == want.tolist() and len(vector_dedup.nearest_cells(a, b, 99)) == 36
+    assert vector_dedup.nearest_cells(a[None], b[None], 10)[0].tolist() == want.tolist() and vector_dedup.nearest_cells(a[None], b[None], 99).shape == (1, 36)
+    a, b = rng.random((500, 40)), rng.random((500, 30))
+    for count in (1, 7, 200, 1200):
+        sums = (a[:, :, None] + b[:, None, :]).reshape(500, -1)
+        got = np.take_along_axis(sums, vector_dedup.nearest_cells(a, b, count).astype(int), 1)
+        np.testing.assert_array_equal(got, np.sort(sums, axis=1)[:, :count])
 
 
 def test_as_many_cells_as_the_recall_needs():
