@@ -47,6 +47,13 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Lists of one length, without nulls, as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), -1)
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
     centres = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
@@ -127,9 +134,8 @@ def _block(table: pa.Table, cosine: float) -> pa.Table:
     """uid, n, root of the vectors that have a link in one block."""
     stored = table.column("stored").to_numpy().astype(bool)
     uid = table.column("uid").to_numpy()
-    x = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(uid), -1)
-    x = normalised(x)
-    visits = np.array(table.column("visits").to_pylist(), np.int64).reshape(len(uid), -1)
+    x = normalised(matrix(table.column("embedding"), np.float64))
+    visits = matrix(table.column("visits"), np.int64)
     du, pu = uid[stored], uid[~stored]
     near = x[~stored] @ x[stored].T >= cosine
     near &= pu[:, None] != du
@@ -163,8 +169,9 @@ def _linked(rows: DataFrame, cosine: float, recall: float, sample: int) -> DataF
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = normalised(np.array(b.column("embedding").to_pylist(), np.float64))
-                cells = pa.array(list(shared.value.visited(v, shared.value.visits)), pa.list_(pa.int32()))
+                v = normalised(matrix(b.column("embedding"), np.float64))
+                cells = shared.value.visited(v, shared.value.visits)
+                cells = pa.ListArray.from_arrays(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1], cells.ravel())
                 yield pa.RecordBatch.from_arrays([*b.columns, cells], [*b.schema.names, "visits"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
