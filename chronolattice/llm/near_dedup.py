@@ -20,12 +20,15 @@ condition, so texts that share a common passage emit no pairs.
 Exact copies are joined first, by digest; the rest works on one representative
 of each text.  No join emits the pairs of a bucket.  (1) Every member is screened
 against the least member of each of its buckets; components of what passes are
-clusters.  A cluster is dealt in blocks of ``BLOCK`` by ``BLOCK`` texts, so no task
-gets a whole hot one; a block compares all of its pairs exactly, by products of
-unit matrices, and returns at most one link per text.  (2) Members of one bucket
-in different clusters are joined under the screen, which lets few pairs through,
-and those are checked.  All checks are exact (on the whole multisets); classes
-are the components of the links.
+clusters.  A cluster is dealt in blocks of about ``BLOCK`` texts or ``BLOCK_UNITS``
+units; each compares all of its pairs and its texts with the cluster's least one,
+exactly, by products of unit matrices, and returns at most one link per text.
+Texts that this links with the least one, in a hot cluster nearly all, need no
+more; the rest are compared with the whole cluster, block by block.  (2) Members
+of one bucket in different clusters are joined under the screen, which lets few
+pairs through, and those are checked; a bucket of more than ``DEAL`` members is
+dealt in blocks of that many by as many.  All checks are exact (on the whole
+multisets); classes are the components of the links.
 
 Edge cases.  Null text links with nothing; its id is its class.  Texts without
 words are linked only if equal.  A null id sorts first.  Rows that repeat id and
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, packed, unpacked
+from ._common import discard, materialise, packed, redealt, unpacked
 from ._graph import components
 from ._words import SPACES, chunks, mix, word_hashes
 
@@ -54,8 +57,10 @@ COORDINATES = BANDS * BAND_ROWS
 #: Longs that hold 4 bits of each coordinate, and the most bits in which a pair may differ.
 SKETCH = COORDINATES // 16
 MOST_BITS = 122
-#: Texts of a block in which all pairs are compared, and shared units that one matrix product takes.
-BLOCK, COLUMNS = 512, 4096
+#: Texts, or units in all, of a block in which all pairs are compared, and shared units that one matrix product takes.
+BLOCK, BLOCK_UNITS, COLUMNS = 512, 1 << 21, 4096
+#: Members of a bucket that one task screens against as many.
+DEAL = 1024
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 
 _U = np.uint64
@@ -204,7 +209,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("units").alias("p")), "u").join(sets.select(F.col("node").alias("v"), F.col("units").alias("q")), "v")
+    dealt = sets.select(redealt("node"), "units")
+    joined = pairs.join(dealt.select(F.col("node").alias("u"), F.col("units").alias("p")), "u").join(dealt.select(F.col("node").alias("v"), F.col("units").alias("q")), "v")
     return joined.select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
 
@@ -239,16 +245,18 @@ def _close(units: list[np.ndarray], others: list[np.ndarray] | None, similarity:
 
 
 def _block_links(t: pa.Table, similarity: float) -> pa.Table:
-    """u, v: links that join a block's nodes as all of its pairs of sufficient similarity do, at most one per node."""
+    """u, v: links that join a block's nodes as all of its pairs of sufficient similarity do, at most one per node and side.
+
+    The pairs are those of side 0 with side 1, or, if there is no side 1, those of side 0.
+    """
     side = t.column("side").to_numpy()
     node = t.column("node").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in t.column("units").to_pylist()]
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    own_block = t.column("p")[0].as_py() == t.column("q")[0].as_py()
-    if not own_block and (not len(a) or not len(b)):
+    if not len(a):
         return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-    near = _close([sets[k] for k in a], None if own_block else [sets[k] for k in b], similarity)
-    if own_block:
+    near = _close([sets[k] for k in a], [sets[k] for k in b] if len(b) else None, similarity)
+    if not len(b):
         b = a
     x, y, far = node[a].copy(), node[b].copy(), np.iinfo(np.int64).max
     while True:
@@ -261,31 +269,63 @@ def _block_links(t: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"u": u[u != v], "v": v[u != v]})
 
 
+def _with_blocks(sets: DataFrame, block: str, blocks: str) -> DataFrame:
+    """Adds a block of each node, by hash, and the number of blocks of its cluster."""
+    units = F.octet_length("units") / 8
+    counts = sets.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(units) / BLOCK_UNITS), F.lit(1)).cast("int").alias(blocks))
+    return sets.join(counts.select(redealt("component"), blocks), "component").withColumn(block, F.pmod(F.xxhash64(F.lit(5), "node"), F.col(blocks)).cast("int"))
+
+
+def cluster_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join the nodes of each cluster as all its pairs of sufficient similarity do.
+
+    ``sets`` has node, component (the least node of its cluster) and units, and is read several times.
+    """
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    def compared(cells: DataFrame) -> DataFrame:
+        return cells.groupBy("component", "p", "q").applyInArrow(lambda t: _block_links(t, similarity), "u long, v long")
+
+    placed = materialise(_with_blocks(sets, "block", "blocks"), "near-sets")
+    cell = ["component", "node", "units", "p", "q", "side"]
+    own = placed.select("component", "node", "units", F.col("block").alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"))
+    leader = placed.where("node = component").select("*", every("blocks").alias("p")).where("p <> block").withColumns({"q": F.lit(0), "side": F.lit(0)})
+    first = materialise(compared(own.unionByName(leader.select(*cell))), "near-links")
+    linked = first.where("v is not null").select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
+    rest = placed.where("node <> component").join(linked, ["node", "component"], "left_anti").select("node", "component", "units")
+    rest = materialise(_with_blocks(rest, "p", "ps"), "near-rest")
+    if rest.isEmpty():
+        return first
+    some = rest.select("component", "ps").distinct()
+    wide = rest.join(placed.select("component", "blocks").distinct().select(redealt("component"), "blocks"), "component").select("component", "node", "units", "p", every("blocks").alias("q"), F.lit(0).alias("side"))
+    others = placed.join(some.select(redealt("component"), "ps"), "component").select("component", "node", "units", every("ps").alias("p"), F.col("block").alias("q"), F.lit(1).alias("side"))
+    return first.unionByName(compared(wide.unionByName(others)))
+
+
 def links(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) that join the same representatives into classes as all links of that similarity do."""
     buckets = reps.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("key", "leader")
+    shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select(redealt("key"), "leader")
     members = materialise(buckets.join(shared, "key"), "near-members")
     star = members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     clusters = materialise(components(screened(star, reps)), "near-clusters")
-    counts = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(counts, "component").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
-    placed = placed.join(unit_sets(_texts_of(docs, reps, clusters.select("node"))), "node")
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("component", "node", "units", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    inside = cells.groupBy("component", "p", "q").applyInArrow(lambda t: _block_links(t, similarity), "u long, v long")
-    found = materialise(inside, "near-links")
+    sets = clusters.join(unit_sets(_texts_of(docs, reps, clusters.select("node"))), "node")
+    found = materialise(cluster_links(sets, similarity), "near-links")
 
     apart = members.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster"))
-    mixed = apart.groupBy("key").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("key")
-    apart = materialise(apart.join(mixed, "key").join(reps.select("node", *[f"b{k}" for k in range(SKETCH)]), "node"), "near-mixed")
+    mixed = apart.groupBy("key").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b"), F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("blocks")).where("a <> b").select(redealt("key"), "blocks")
+    apart = apart.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(6), "node"), F.col("blocks")).cast("int"))
+    apart = materialise(apart.join(reps.select("node", *[f"b{k}" for k in range(SKETCH)]), "node"), "near-mixed")
 
-    def side_of(s: str) -> DataFrame:
-        return apart.select("key", F.col("node").alias(s), F.col("cluster").alias(f"{s}_cluster"), *[F.col(f"b{k}").alias(c) for k, c in enumerate(_bits(s))])
+    def side_of(s: str, own: str, other: str) -> DataFrame:
+        dealt = apart.withColumn(own, F.col("block")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return dealt.select("key", "p", "q", F.col("node").alias(s), F.col("cluster").alias(f"{s}_cluster"), *[F.col(f"b{k}").alias(c) for k, c in enumerate(_bits(s))])
 
-    one, two = side_of("u"), side_of("v").withColumnRenamed("key", "other_key")
-    across = one.join(two, (F.col("key") == F.col("other_key")) & (F.col("u_cluster") < F.col("v_cluster")) & _alike()).select("u", "v").distinct()
+    across = side_of("u", "p", "q").join(side_of("v", "q", "p"), ["key", "p", "q"]).where((F.col("u_cluster") < F.col("v_cluster")) & _alike()).select("u", "v").distinct()
     across = materialise(across, "near-across")
+    discard(members, clusters, apart)
     nodes = across.select(F.col("u").alias("node")).unionByName(across.select(F.col("v").alias("node"))).distinct()
     return materialise(found.unionByName(verified(across, unit_sets(_texts_of(docs, reps, nodes)), similarity)), "near-links")
 
@@ -302,7 +342,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     found = components(links(slim, reps, similarity))
     placed = reps.select("digest", "first_id", "node").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = placed.groupBy("class").agg(F.min(F.struct("first_id", "digest")).alias("least"))
-    placed = materialise(placed.join(least, "class").select("digest", "least"), "near-classes")
+    placed = materialise(placed.join(least.select(redealt("class"), "least"), "class").select("digest", "least"), "near-classes")
     out = sketches.select("doc_id", "digest").join(placed, "digest").select("doc_id", "digest", F.col("least.first_id").alias("class_id"), F.col("least.digest").alias("class_digest"))
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest")))
     nulls = slim.where("text is null").select("doc_id", F.lit(None).cast("string").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(None).cast("string").alias("class_digest"), F.lit(True).alias("kept"))

@@ -239,6 +239,7 @@ def brute_classes(rows):
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "DEAL", block)
     monkeypatch.setattr(near_dedup, "COLUMNS", 50)
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -261,6 +262,45 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in want if want[i] == i)
 
 
+def test_blocks_of_a_cluster_against_brute_force(spark, monkeypatch):
+    """Chains: most texts are linked with the least one of their cluster only through others."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_UNITS", 300)
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for _ in range(6):
+        base = rng.integers(1, 1 << 60, 120).astype(np.uint64)
+        for _ in range(int(rng.integers(2, 30))):
+            base = base.copy()
+            base[rng.integers(0, 120, 9)] = rng.integers(1, 1 << 60, 9)
+            rows.append((n, np.unique(base)))
+            n += 1
+    rows = [(i, c, u) for c, start in ((0, 0), (n // 3, n // 3), (2 * n // 3, 2 * n // 3)) for i, u in rows[start : start + n // 3]]
+    parent = {i: i for i, _, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def join(i, j):
+        p, q = sorted((find(i), find(j)))
+        parent[q] = p
+
+    for k, (i, c, u) in enumerate(rows):
+        for j, d, v in rows[:k]:
+            both = len(np.intersect1d(u, v))
+            if c == d and both >= 0.8 * (len(u) + len(v) - both):
+                join(i, j)
+    want = {i: find(i) for i, _, _ in rows}
+    assert sum(want[i] != c for i, c, _ in rows) > 5
+    sets = spark.createDataFrame([(i, c, bytearray(u.tobytes())) for i, c, u in rows], "node long, component long, units binary")
+    parent = {i: i for i, _, _ in rows}
+    for u, v in near_dedup.cluster_links(sets, 0.8).collect():
+        join(u, v)
+    assert {i: find(i) for i, _, _ in rows} == want
+
+
 def test_near_edges(spark):
     d = docs(spark, ["same text here", "same text here", "same text here", None, "lone"], [4, 4, 7, None, None])
     d = d.withColumn("digest", F.lit("clash")).withColumn("kept", F.lit(1))
