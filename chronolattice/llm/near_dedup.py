@@ -286,7 +286,8 @@ def cluster_links(sets: DataFrame, similarity: float) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
     def compared(cells: DataFrame) -> DataFrame:
-        return cells.groupBy("component", "p", "q").applyInArrow(lambda t: _block_links(t, similarity), "u long, v long")
+        # Dealt by all three keys: a join by the cluster alone would leave all of its blocks in one task.
+        return cells.withColumn("component", redealt("component")).groupBy("component", "p", "q").applyInArrow(lambda t: _block_links(t, similarity), "u long, v long")
 
     placed = materialise(_with_blocks(sets, "block", "blocks"), "near-sets")
     cell = ["component", "node", "units", "p", "q", "side"]
