@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolattice.functions.probability import log_sum_exp
@@ -19,6 +19,11 @@ from .model import BlockModel, averaged, icl, maximised, random_sums, row_log_we
 LOCAL_ROWS = 20_000
 
 
+def row_id(key: Column, cells: Column) -> Column:
+    """A number for each row from its key, of any type, and its cells: repeated keys of different cells differ."""
+    return F.xxhash64(key, cells)
+
+
 class ConvergenceError(RuntimeError):
     """No start led to a model without empty clusters."""
 
@@ -148,7 +153,11 @@ class BlockEstimator:
         return np.eye(p.shape[1])[pick]
 
     def _start(self, data: Matrix, init: str, rng: np.random.Generator, seed: int) -> tuple[BlockModel, np.ndarray]:
-        n_cols = len(self.sizes)
+        n_cols, init = len(self.sizes), init.lower()
+        if init not in ("randompartition", "kmeans", "funlbm"):
+            raise ValueError(f"no start {init}: randomPartition, kmeans or FunLBM")
+        if init == "funlbm" and self.initial_columns is None:
+            return self._functional_start(data, seed)
         if self.initial_columns is not None:
             columns = np.eye(n_cols)[np.asarray(self.initial_columns)]
         elif init == "kmeans":
@@ -160,6 +169,19 @@ class BlockEstimator:
         sizes, conditional = list(self.sizes), self.conditional
         return self._maximised(data.total(lambda x, ids: random_sums(x, ids, sizes, conditional, columns, (seed, 0))), columns, None, 0), columns
 
+    def _functional_start(self, data: Matrix, seed: int) -> tuple[BlockModel, np.ndarray]:
+        """From a plain functional model of as many column clusters, each with the most row clusters asked for."""
+        plain = BlockEstimator.functional_plain(max(self.sizes), len(self.sizes), seed=seed, max_iterations=self.max_iterations, burn_in=self.burn_in, ridge=self.ridge)
+        found = plain.run(data)
+        model, columns = found.model, np.eye(len(self.sizes))[found.col_partition]
+        most, sizes, conditional = max(self.sizes), np.array(self.sizes), self.conditional
+
+        def sums(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+            labels = row_weights(row_log_weights(model, model.log_density(x), columns), ids, "best", ()).argmax(2)
+            return sums_of(x, np.eye(most)[(labels % sizes) if conditional else labels], columns)
+
+        return self._maximised(data.total(sums), columns, None, 0), columns
+
     def _kmeans_start(self, data: Matrix, rng: np.random.Generator, most: int = 2000) -> tuple[BlockModel, np.ndarray]:
         """K-means of the columns, then of the rows in each column cluster, on a bounded sample of rows."""
         rows = data.df.orderBy(F.xxhash64(F.lit(int(rng.integers(1 << 30))), "rid")).limit(most).collect()

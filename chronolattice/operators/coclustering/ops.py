@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from chronolattice.sources.writers import write_coclustering
 
-from .estimator import BlockEstimator, CoClustering, Matrix
+from .estimator import BlockEstimator, CoClustering, Matrix, row_id
 from .selection import best_after_grid, greedy_search, grid_search, size_vectors
 
 
 class CoClusteringOps:
     def _matrix(self, source: str, key: str) -> tuple[Matrix, DataFrame]:
-        """Cells by a number of our own for each key, since keys can be of any type."""
-        keyed = self.df.select(F.xxhash64(self.column(key)).alias("rid"), self.column(source).alias("cells"))
+        """Cells by :func:`row_id`; rows of equal key and cells share one, and get the same label."""
+        keyed = self.df.select(row_id(self.column(key), self.column(source)).alias("rid"), self.column(source).alias("cells"))
         return Matrix(keyed), keyed
 
-    def _attach(self, out: str, key: str, result: CoClustering, plain: bool, exhaustive: bool = False):
-        labels = result.row_labels.select(F.col("rid").alias("label_rid"), "labels")
+    def _attach(self, out: str, source: str, key: str, result: CoClustering, plain: bool, exhaustive: bool = False):
+        labels = result.row_labels.select(F.col("rid").alias("label_rid"), "labels").dropDuplicates(["label_rid"])
         one = F.get("labels", F.lit(0))
         if not plain:
             one = F.array(*[F.get("labels", F.lit(int(c))) for c in result.col_partition]) if exhaustive else F.col("labels")
-        joined = self.df.join(labels, F.xxhash64(self.column(key)) == labels["label_rid"], "left")
+        joined = self.df.join(labels, row_id(self.column(key), self.column(source)) == labels["label_rid"], "left")
         return self._of(joined.withColumn(out, one).drop("label_rid", "labels"))
 
     def _clustered(self, out: str, source: str, key: str, estimate, plain: bool, exhaustive: bool, folder: str | None, series: str | None):
@@ -32,7 +32,7 @@ class CoClusteringOps:
         result = estimate(data)
         if folder:
             write_coclustering(result, self.df, key, source, folder, series)
-        return self._attach(out, key, result, plain, exhaustive), result
+        return self._attach(out, source, key, result, plain, exhaustive), result
 
     def add_lbm(self, out: str, source: str, key: str = "gkey", k: int = 2, l: int = 2, max_iterations: int = 10, burn_in: int = 10, init: str = "randomPartition", method: str = "SEMGibbs", runs: int = 1, tries: int = 10, seed: int = 0, folder: str | None = None, series: str | None = None, **options):  # noqa: E741
         """Row cluster of each multivariate row; returns (set, result)."""

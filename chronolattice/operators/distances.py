@@ -187,5 +187,7 @@ class DistanceOps:
     def distances_to(self, column: str, targets: DataFrame, distance: ColumnDistance) -> DistanceSet:
         return DistanceSet(to_targets(self.df, "id", column, targets, distance))
 
-    def closest_to_targets(self, column: str, targets: DataFrame, distance: ColumnDistance) -> DataFrame:
-        return closest(to_targets(self.df, "id", column, targets, distance))
+    def closest_to_targets(self, column: str, targets: DataFrame, distance: ColumnDistance, itself: bool = True) -> DataFrame:
+        """The nearest row of each target; not ``itself``: rows of the target's own id do not count."""
+        found = to_targets(self.df, "id", column, targets, distance)
+        return closest(found if itself else found.where("id1 <> id2"))

@@ -123,8 +123,15 @@ class EvaluationOps:
         return pair_counts(contingency(self.df, pred, truth)).select(_indices()[name]).first()[0]
 
     def f_beta(self, pred: str, truth: str) -> Callable[[float], float]:
+        """The F index for any beta; null, as all indices, for a zero divisor."""
         r = pair_counts(contingency(self.df, pred, truth)).first()
-        return lambda beta: (1 + beta**2) * r.tp / ((1 + beta**2) * r.tp + beta**2 * r.fn + r.fp)
+        tp, fn, fp = (x or 0 for x in (r.tp, r.fn, r.fp)) if r else (0, 0, 0)
+
+        def f(beta: float) -> float | None:
+            divisor = (1 + beta**2) * tp + beta**2 * fn + fp
+            return (1 + beta**2) * tp / divisor if divisor else None
+
+        return f
 
     def davies_bouldin(self, representation: str, cluster: str) -> float | None:
         return davies_bouldin(self.df, representation, cluster).first()[0]

@@ -53,6 +53,8 @@ def moments(df: DataFrame, array_col: str) -> tuple[int, np.ndarray, np.ndarray]
 
     rows = df.select(F.col(array_col).alias("x")).mapInPandas(partial, "n long, s array<double>, q array<double>").collect()
     n = sum(r.n for r in rows)
+    if not n:
+        return 0, np.zeros(0), np.zeros((0, 0))
     s = np.sum([r.s for r in rows], axis=0)
     return n, s, np.sum([r.q for r in rows], axis=0).reshape(len(s), len(s))
 
@@ -90,6 +92,8 @@ def classical_scaling(distances: DistanceSet, k: int, threshold: float = 0.0, ru
     ids = [r[0] for r in distances.df.select("id1").distinct().orderBy("id1").collect()]
     n = len(ids)
     k = min(k, n)
+    if not n:
+        return Scaling([], np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0.0)
     rng = np.random.default_rng(seed)
     if n > DRIVER_POINTS:
         return _distributed_scaling(distances, ids, k, threshold, seed, additive)
@@ -247,12 +251,15 @@ class ReductionOps:
         return self._of(df.drop("pca_all")), model
 
     def pca_correlation_circle(self, pca: str, features: str) -> DataFrame:
-        """(feature, axis, corr): Pearson correlation of every feature with every component, in one aggregation."""
-        row = self.df.select(F.size(self._array(pca)).alias("p"), F.size(self._array(features)).alias("f")).first()
-        rows = self.df.select(self._array(pca).alias("p"), self._array(features).alias("f"))
-        n_p, n_f = (row.p, row.f) if row else (0, 0)
-        cells = [F.struct(F.lit(i).alias("feature"), F.lit(j).alias("axis"), F.corr(F.get("f", F.lit(i)), F.get("p", F.lit(j))).alias("corr")) for i in range(n_f) for j in range(n_p)]
-        return rows.agg(F.array(*cells).alias("all")).select(F.explode("all").alias("c")).select("c.*")
+        """(feature, axis, corr): Pearson correlation of every feature with every component (null for a constant one), from one pass of sums."""
+        row = self.df.select(F.size(self._array(pca)).alias("p")).first()
+        n, s, q = moments(self.df.select(F.concat(self._array(pca), self._array(features)).alias("both")), "both")
+        found, n_p = [], row.p if row else 0
+        if n:
+            c = q / n - np.outer(s / n, s / n)
+            spread = np.sqrt(np.maximum(np.diag(c), 0.0))
+            found = [(i - n_p, j, float(c[i, j] / (spread[i] * spread[j])) if spread[i] * spread[j] > 0 else None) for i in range(n_p, len(s)) for j in range(n_p)]
+        return self.df.sparkSession.createDataFrame(found, "feature int, axis int, corr double")
 
     def add_mds(self, out: str, source: str, k: int, distance: MatrixDistance | None = None, threshold: float = 0.0, runs: int = 1, noise: float = 0.0, seed: int = 0, additive: bool = False):
         return self.add_mds_with_model(out, source, k, distance, threshold, runs, noise, seed, additive)[0]

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolattice.functions import arrays
+from chronolattice.functions import arrays, probability
 from chronolattice.operators import distances as dist
 from chronolattice.operators import evaluation, reduction
+from chronolattice.operators.coclustering import conversions
+from chronolattice.operators.kmeans import KMeans
 from chronolattice.operators.series_set import SeriesSet
 from chronolattice.sources import readers, synthetic
 
@@ -97,10 +100,24 @@ _series_query("dft_periodogram", lambda d: d.add_dft("f", "series").add_dft_peri
 _series_query("log10_dft_periodogram", lambda d: d.add_log10_dft_periodogram("out", "series", 1.0), f"list_transform({_POWER}, lambda x: log10(x + 1))")
 _series_query("dft_frequencies", lambda d: d.add_dft_frequencies("out", "series", 0.5), "[(CASE WHEN i < ceil(len(v) / 2) THEN i ELSE i - len(v) END) / (len(v) * 0.5) FOR i IN range(len(v))]")
 _series_query("linear_interpolation", lambda d: d.with_column("xs", F.transform("series", lambda x, i: i.cast("double"))).add_linear_interpolation("out", "xs", "series", [-1.0, 0.5, 1.25, 2.0]), "[CASE WHEN len(v) < 2 THEN v[1] ELSE v[CAST(least(greatest(floor(x), 0), len(v) - 2) AS INTEGER) + 1] + (v[CAST(least(greatest(floor(x), 0), len(v) - 2) AS INTEGER) + 2] - v[CAST(least(greatest(floor(x), 0), len(v) - 2) AS INTEGER) + 1]) * (x - least(greatest(floor(x), 0), len(v) - 2)) END FOR x IN [-1.0, 0.5, 1.25, 2.0]]")
-_series_query("haar_wavelet", lambda d: d.where("size(series) >= 8").with_column("cut", F.slice("series", 1, 8)).add_dwt("out", "cut", "haar"), "[(v[1]+v[2]+v[3]+v[4]+v[5]+v[6]+v[7]+v[8]) / sqrt(8), (v[1]+v[2]+v[3]+v[4]-v[5]-v[6]-v[7]-v[8]) / sqrt(8), (v[1]+v[2]-v[3]-v[4]) / 2, (v[5]+v[6]-v[7]-v[8]) / 2, (v[1]-v[2]) / sqrt(2), (v[3]-v[4]) / sqrt(2), (v[5]-v[6]) / sqrt(2), (v[7]-v[8]) / sqrt(2)]")
-ORACLES["haar_wavelet"] = ORACLES["haar_wavelet"].replace("FROM s ", "FROM s WHERE len(v) >= 8")
-_series_query("wavelet_round_trip", lambda d: d.where("size(series) >= 8").with_column("cut", F.slice("series", 1, 8)).add_dwt("w", "cut", "d4").add_inverse_dwt("out", "w", "d4"), "v[1:8]")
-ORACLES["wavelet_round_trip"] = ORACLES["wavelet_round_trip"].replace("FROM s ", "FROM s WHERE len(v) >= 8")
+_FULL = "CAST(power(2, ceil(log2(len(v)))) AS BIGINT)"
+
+
+def _padded(d: SeriesSet) -> SeriesSet:
+    """The whole series, with zeros up to a power of two values."""
+    n = F.size("series")
+    return d.with_column("full", F.concat("series", F.array_repeat(F.lit(0.0), (F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("int") - n))))
+
+
+def _block_sum(size: str, block: str, part: int) -> str:
+    """Sum of the first (0) or second (1) half of a block of values."""
+    return f"coalesce(list_sum(v[{block} * {size} + {part} * ({size} // 2) + 1 : {block} * {size} + {part + 1} * ({size} // 2)]), 0.0)"
+
+
+_LEVEL = "CAST(power(2, floor(log2(i))) AS BIGINT)"
+_SIZE = f"({_FULL} // {_LEVEL})"
+_series_query("haar_wavelet", lambda d: _padded(d).add_dwt("out", "full", "haar"), f"[CASE WHEN i = 0 THEN list_sum(v) / sqrt({_FULL}) ELSE ({_block_sum(_SIZE, f'(i - {_LEVEL})', 0)} - {_block_sum(_SIZE, f'(i - {_LEVEL})', 1)}) / sqrt({_SIZE}) END FOR i IN range({_FULL})]")
+_series_query("wavelet_round_trip", lambda d: _padded(d).add_dwt("w", "full", "d4").add_inverse_dwt("out", "w", "d4"), f"[coalesce(v[i + 1], 0.0) FOR i IN range({_FULL})]")
 
 
 def fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,10 +271,10 @@ def target_distances_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.distances_to("x", _targets(d), lambda a, b: arrays.weighted_euclidean(a, b, w)).df.select("id1", "id2", rounded(F.col("distance")).alias("distance"))
 
 
-@query(f"{_T}, p AS (SELECT a.id AS id1, t.id AS id2, list_sum([power(a.x[i] - t.x[i], 2) FOR i IN range(1, 65)]) AS d FROM e a, t WHERE a.id % 20 <> 0) SELECT id2 AS \"refId\", min_by(id1, d) AS \"closestPoint\", round(min(d) + 1e-9, 6) + 0.0 AS distance FROM p GROUP BY id2")
+@query(f"{_T}, p AS (SELECT a.id AS id1, t.id AS id2, list_sum([power(a.x[i] - t.x[i], 2) FOR i IN range(1, 65)]) AS d FROM e a, t WHERE a.id <> t.id) SELECT id2 AS \"refId\", min_by(id1, d) AS \"closestPoint\", round(min(d) + 1e-9, 6) + 0.0 AS distance FROM p GROUP BY id2")
 def closest_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = vectors_set(spark, sf_dir)
-    found = d.where("id % 20 <> 0").closest_to_targets("x", _targets(d), arrays.euclidean)
+    found = d.closest_to_targets("x", _targets(d), arrays.euclidean, itself=False)
     return found.select("refId", "closestPoint", rounded(F.col("distance")).alias("distance"))
 
 
@@ -294,10 +311,9 @@ def column_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(d.with_column_renamed("id", "vec_id").df, ["vec_id"], "out")
 
 
-@query(f"{_E} SELECT CAST(f AS INTEGER) AS feature, CAST(a AS INTEGER) AS axis, round(corr(x[f + 1], x[a + 9]) + 1e-9, 6) + 0.0 AS corr FROM (SELECT x, unnest(range(8)) AS f FROM e) CROSS JOIN (SELECT unnest(range(2)) AS a) GROUP BY ALL")
+@query(f"{_E} SELECT CAST(f AS INTEGER) AS feature, CAST(a AS INTEGER) AS axis, round(corr(x[f + 1], x[a + 1]) + 1e-9, 6) + 0.0 AS corr FROM (SELECT x, unnest(range(64)) AS f FROM e) CROSS JOIN (SELECT unnest(range(64)) AS a) GROUP BY ALL")
 def correlation_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = vectors_set(spark, sf_dir).with_column("f", F.slice("x", 1, 8)).with_column("p", F.slice("x", 9, 2))
-    return d.pca_correlation_circle("p", "f").select("feature", "axis", rounded(F.col("corr")).alias("corr"))
+    return vectors_set(spark, sf_dir).pca_correlation_circle("x", "x").select("feature", "axis", rounded(F.col("corr")).alias("corr"))
 
 
 _INDEX_SQL = """WITH c AS (SELECT {truth} AS a, {pred} AS b, count(*)::DOUBLE AS n FROM {table} GROUP BY ALL),
@@ -402,24 +418,34 @@ def _demo(spark: SparkSession, rows: int = 20) -> SeriesSet:
     return d.with_column("trueCluster", F.element_at("trueSeriesCluster", 1))
 
 
-@query()
+#: The two row clusters of the blocks, named by their least key.
+_TRUTH = "SELECT CAST(i AS VARCHAR) AS gkey, CAST(CASE WHEN i < 20 THEN 0 ELSE 20 END AS VARCHAR) AS representative FROM range(40) t(i)"
+
+
+def _representatives(df: DataFrame, cluster: str) -> DataFrame:
+    """(gkey, representative): the least key of the row's cluster, whatever the clusters are called."""
+    least = F.min(F.col("gkey").cast("int")).over(Window.partitionBy(F.col(cluster).cast("string")))
+    return df.select("gkey", least.cast("string").alias("representative"))
+
+
+@query(_TRUTH)
 def latent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _demo(spark).add_lbm("cluster", "pca", k=2, l=2, max_iterations=5, burn_in=3, seed=3)[0].df.select("gkey", "cluster", "trueCluster")
+    return _demo(spark).add_lbm("cluster", "pca", k=2, l=2, max_iterations=5, burn_in=3, seed=3)[0].df.transform(_representatives, "cluster")
 
 
-@query()
+@query(_TRUTH)
 def conditional_latent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _demo(spark).add_clbm("clusters", "pca", sizes=(2, 2), max_iterations=5, burn_in=3, seed=3)[0].df.select("gkey", "clusters", "trueCluster")
+    return _demo(spark).add_clbm("clusters", "pca", sizes=(2, 2), max_iterations=5, burn_in=3, seed=3)[0].df.transform(_representatives, "clusters")
 
 
-@query()
+@query(_TRUTH)
 def functional_latent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _demo(spark).add_fun_lbm("cluster", "pca", k=2, l=2, max_iterations=5, burn_in=3, seed=3)[0].df.select("gkey", "cluster", "trueCluster")
+    return _demo(spark).add_fun_lbm("cluster", "pca", k=2, l=2, max_iterations=5, burn_in=3, seed=3)[0].df.transform(_representatives, "cluster")
 
 
-@query()
+@query(_TRUTH)
 def functional_conditional_latent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _demo(spark).add_fun_clbm("clusters", "pca", sizes=(2, 2), max_iterations=5, burn_in=3, seed=3)[0].df.select("gkey", "clusters", "trueCluster")
+    return _demo(spark).add_fun_clbm("clusters", "pca", sizes=(2, 2), max_iterations=5, burn_in=3, seed=3)[0].df.transform(_representatives, "clusters")
 
 
 @query()
@@ -429,3 +455,162 @@ def fourier_step_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p(d).df.select("user_id", "event_type", vector_to_array("pca").alias("pca"))
 
 
+@query()
+def kmeans_plus_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).df
+    return KMeans(10, 10, seed=1).fit(d, "x").assign(d, "x", "cluster").select("id", "cluster")
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """K-means from the first vector of each label, ``rounds`` times, then the nearest centre."""
+    ctes = [_E + ", f AS (SELECT min(id) AS id FROM e GROUP BY label), c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, x FROM e WHERE id IN (SELECT id FROM f))"]
+    for n in range(rounds + 1):
+        ctes.append(f"n{n} AS (SELECT e.id, any_value(e.x) AS x, min_by(c.k, list_sum([power(e.x[i] - c.x[i], 2) FOR i IN range(1, 65)])) AS k FROM e, c{n} c GROUP BY e.id)")
+        if n < rounds:
+            ctes.append(f"c{n + 1} AS (SELECT k, list(m ORDER BY i) AS x FROM (SELECT k, i, avg(x[i]) AS m FROM (SELECT k, x, unnest(range(1, 65)) AS i FROM n{n}) GROUP BY ALL) GROUP BY k)")
+    return ", ".join(ctes) + f" SELECT id, CAST(k AS INTEGER) AS cluster FROM n{rounds}"
+
+
+@query(_lloyd_sql(3))
+def kmeans_from_given_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors_set(spark, sf_dir).df
+    first = d.groupBy("label").agg(F.min_by("x", "id").alias("x"), F.min("id").alias("id")).orderBy("id").collect()
+    return KMeans(10, 3, centres=[r.x for r in first]).fit(d, "x").assign(d, "x", "cluster").select("id", "cluster")
+
+
+@query(f"{_E} SELECT id AS vec_id, round(list_sum([power(x[i], 2) FOR i IN range(1, 65)]) + 1e-9, 5) AS squares FROM e")
+def pca_keeps_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 axes: the projection turns the vectors and leaves their lengths."""
+    d = vectors_set(spark, sf_dir).add_vector("v", "x").add_pca("p", "v", 64, 0.0).add_array_from_vector("out", "p")
+    return d.df.select(F.col("id").alias("vec_id"), F.round(arrays.total(F.transform("out", lambda x: x * x)) + 1e-9, 5).alias("squares"))
+
+
+class _Middle:
+    """In place of a random generator: the middle of what it would draw."""
+
+    def normal(self, middle: float, deviation: float) -> float:
+        return middle
+
+
+_SHAPES = {
+    "sine": "1 + 0.5 * sin(4 * pi() * t)",
+    "sigmoid": "1 / (1 + exp(-20 * (t - 0.6)))",
+    "rectangle": "CASE WHEN place >= 30 AND place < 60 THEN 1 ELSE 0 END",
+    "morlet": "exp(-power(10 * (t - 0.5), 2) / 2) * cos(50 * (t - 0.5))",
+    "gaussian": "1.5 * exp(-power(t - 0.5, 2) / 0.02)",
+    "double_gaussian": "exp(-power(t - 0.2, 2) / 0.02) + exp(-power(t - 0.7, 2) / 0.02)",
+    "shifted_sine": "0.3 + 0.3 * sin(2 * pi() * t)",
+    "sine_rectangle": "0.5 * sin(2 * pi() * t) + CASE WHEN place >= 30 AND place < 60 THEN 2 ELSE -1 END",
+}
+
+
+@query("WITH g AS (SELECT CAST(i AS INTEGER) AS place, CAST(i AS DOUBLE) / 100 AS t FROM range(100) r(i)) " + " UNION ALL ".join(f"SELECT '{name}' AS name, place, round(CAST({f} AS DOUBLE) + 1e-9, 6) + 0.0 AS value FROM g" for name, f in _SHAPES.items()))
+def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = np.arange(100) / 100
+    rows = [(name, f(t, _Middle()).astype(float).tolist()) for name, f in synthetic.PROTOTYPES.items()]
+    return long_form(spark.createDataFrame(rows, "name string, values array<double>"), ["name"], "values")
+
+
+_AVG, _WEIGHT = "list_avg(v)", "[i + 1.0 FOR i IN range(len(v))]"
+_WMEAN = "(list_sum([(i + 1) * v[i + 1] FOR i IN range(len(v))]) / (len(v) * (len(v) + 1) / 2))"
+
+
+@query(f"""{_S} SELECT user_id, event_type, round(list_max(v) + ln(list_sum([exp(x - list_max(v)) FOR x IN v])) + 1e-9, 6) AS log_sum_exp,
+round(list_sum([power(x - {_AVG}, 2) FOR x IN v]) / (len(v) - 1) + 1e-9, 6) AS variance,
+round(list_sum([(v[i + 1] - {_AVG}) * (i - (len(v) - 1) / 2) FOR i IN range(len(v))]) / (len(v) - 1) + 1e-9, 6) + 0.0 AS covariance,
+round(list_sum([power(x - 1, 2) FOR x IN v]) / len(v) + 1e-9, 6) AS covariance_about,
+round({_WMEAN} + 1e-9, 6) AS weighted_mean,
+round(list_sum([(i + 1) * (v[i + 1] - {_WMEAN}) * (i - (2 * len(v) + 1) / 3 + 1) FOR i IN range(len(v))]) / (len(v) * (len(v) + 1) / 2) + 1e-9, 6) + 0.0 AS weighted_covariance,
+round(list_sum([(i + 1) * power(v[i + 1] - 1, 2) FOR i IN range(len(v))]) / (len(v) * (len(v) + 1) / 2) + 1e-9, 6) AS weighted_covariance_about,
+CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS most_likely, round(len(list_filter(v, lambda x: x > {_AVG})) / len(v) + 1e-9, 6) AS share,
+round(floor(v[1] * 100 + 0.5) / 100, 6) AS half_up FROM s WHERE len(v) > 1""")
+def probability_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numeric helpers of the model-based methods on every series of two values and more (a variance needs two)."""
+    names = ["log_sum_exp", "variance", "covariance", "covariance_about", "weighted_mean", "weighted_covariance", "weighted_covariance_about"]
+
+    def run(frames):
+        for f in frames:
+            out = f[["user_id", "event_type"]].copy()
+            found = []
+            for v in f["series"]:
+                x, place = np.array(v, float), np.arange(len(v), dtype=float)
+                w, one = place + 1, np.ones(1)
+                numbers = [probability.log_sum_exp(x), probability.variance(x), probability.covariance(x, place), probability.covariance_about(x[:, None], one)[0, 0], probability.weighted_mean(x[:, None], w)[0], probability.weighted_covariance(x, place, w), probability.weighted_covariance_about(x[:, None], w, one)[0, 0]]
+                high = (x > x.mean()).astype(int)
+                found.append([*[float(n) for n in numbers], int(probability.map_labels(x[None])[0]), float(probability.proportions(high, 2)[1]), probability.round_half_up(x[0], 2)])
+            for k, name in enumerate([*names, "most_likely", "share", "half_up"]):
+                out[name] = [r[k] for r in found]
+            yield out
+
+    kinds = ", ".join(f"{n} double" for n in names)
+    d = events_set(spark, sf_dir).where("size(series) > 1").df.select("user_id", "event_type", "series")
+    d = d.mapInPandas(run, f"user_id long, event_type string, {kinds}, most_likely int, share double, half_up double")
+    return d.select("user_id", "event_type", *[rounded(F.col(n)).alias(n) for n in names], "most_likely", rounded(F.col("share")).alias("share"), F.round("half_up", 6).alias("half_up"))
+
+
+@query(f"""{_S}, a AS (SELECT user_id, event_type, len(v) AS n, 7 AS seven FROM s), b AS (SELECT user_id, min(n) AS low FROM a GROUP BY user_id)
+SELECT a.user_id, CAST(a.n AS INTEGER) AS values, CAST(a.n + seven AS INTEGER) AS more, CAST(coalesce(low, -1) AS INTEGER) AS low FROM a LEFT JOIN b ON a.user_id = b.user_id AND low > 3""")
+def relational_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events_set(spark, sf_dir).with_column("values", F.size("series")).add_constant("seven", 7)
+    d = d.add_function_column("more", ["values", "seven"], lambda a, b: a + b).drop("series", "decorators", "seven").regenerate_ids().repartition(4, "user_id").order_by("user_id").coalesce(2)
+    low = d.df.groupBy("user_id").agg(F.min("values").alias("low")).where("low > 3")
+    d = d.left_join(low, "user_id").select_columns(F.col("user_id"), F.col("values"), F.col("more"), F.coalesce("low", F.lit(-1)).alias("low"))
+    return d.df.drop("id")
+
+
+#: Events as a matrix of users and types, with labels of both.
+_CELLS = """WITH c AS (SELECT user_id AS r, event_type AS c, round(sum(value), 4) AS v FROM events GROUP BY ALL),
+rl AS (SELECT DISTINCT r, CAST(r % 3 AS INTEGER) AS rc, [CAST(r % 3 AS INTEGER), CAST(r % 2 AS INTEGER)] AS labels FROM c), cl AS (SELECT DISTINCT c, CAST(len(c) % 2 AS INTEGER) AS cc FROM c)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events")
+    cells = e.groupBy(F.col("user_id").alias("row"), F.col("event_type").alias("column")).agg(F.round(F.sum("value"), 4).alias("value"))
+    row = F.col("row")
+    rows = cells.select("row").distinct().select("row", (row % 3).cast("int").alias("row_cluster"), F.array((row % 3).cast("int"), (row % 2).cast("int")).alias("labels"))
+    columns = cells.select("column").distinct().select("column", (F.length("column") % 2).cast("int").alias("column_cluster"))
+    return cells, rows, columns
+
+
+@query(_CELLS + ", l AS (SELECT 'row' AS side, CAST(r AS VARCHAR) AS key, list(v ORDER BY c) AS w FROM c GROUP BY r UNION ALL SELECT 'column', c, list(v ORDER BY r) FROM c GROUP BY c), u AS (SELECT side, key, w, unnest(range(len(w))) AS i FROM l) SELECT side, key, CAST(i AS INTEGER) AS place, round(w[i + 1] + 1e-9, 4) + 0.0 AS value FROM u")
+def matrix_rows_and_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _, _ = _cells(spark, sf_dir)
+    rows = conversions.cells_of_rows(conversions.rows_of_cells(cells)).select(F.lit("row").alias("side"), F.col("row").cast("string").alias("key"), F.col("column").alias("place"), "value")
+    columns = conversions.columns_of_cells(cells).select(F.lit("column").alias("side"), F.col("column").alias("key"), F.posexplode("cells").alias("place", "value"))
+    return rows.unionByName(columns).withColumn("value", rounded(F.col("value"), 4))
+
+
+@query(_CELLS + """, b AS (SELECT rc, cc, count(*) AS n FROM c JOIN rl USING (r) JOIN cl USING (c) GROUP BY ALL),
+d AS (SELECT labels[cc + 1] AS rc, cc, count(*) AS n FROM c JOIN rl USING (r) JOIN cl USING (c) GROUP BY ALL)
+SELECT 'row' AS kind, rc AS a, -1 AS b, round(sum(n) / (SELECT sum(n) FROM b), 9) AS share FROM b GROUP BY rc
+UNION ALL SELECT 'column', -1, cc, round(sum(n) / (SELECT sum(n) FROM b), 9) FROM b GROUP BY cc
+UNION ALL SELECT 'conditional', rc, cc, round(n / sum(n) OVER (PARTITION BY cc), 9) FROM d""")
+def block_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, rows, columns = _cells(spark, sf_dir)
+    plain = conversions.block_sizes(conversions.with_labels(cells, rows.drop("labels"), columns))
+    conditional = conversions.block_sizes(conversions.with_conditional_labels(cells, rows.drop("row_cluster"), columns))
+    none = F.lit(-1)
+    out = conversions.row_proportions(plain).select(F.lit("row").alias("kind"), F.col("row_cluster").alias("a"), none.alias("b"), F.col("proportion").alias("share"))
+    out = out.unionByName(conversions.column_proportions(plain).select(F.lit("column").alias("kind"), none.alias("a"), F.col("column_cluster").alias("b"), F.col("proportion").alias("share")))
+    out = out.unionByName(conversions.row_proportions(conditional, True).select(F.lit("conditional").alias("kind"), F.col("row_cluster").alias("a"), F.col("column_cluster").alias("b"), F.col("proportion").alias("share")))
+    return out.withColumn("share", F.round("share", 9))
+
+
+@query(_CELLS + """, j AS (SELECT r, c, rc, cc, labels FROM c JOIN rl USING (r) JOIN cl USING (c)),
+k AS (SELECT r, array_to_string(list(labels[cc + 1] ORDER BY cc), ',') AS conditional FROM (SELECT DISTINCT r, cc, labels FROM j) GROUP BY r)
+SELECT CAST(r AS VARCHAR) AS key, any_value(rc) AS label, any_value(conditional) AS conditional, any_value(rc) AS most_likely, round(1 / (1 + 2e-8), 9) AS largest FROM j JOIN k USING (r) GROUP BY r
+UNION ALL SELECT c, any_value(cc), NULL, any_value(cc), round(1 / (1 + 1e-8), 9) FROM j GROUP BY c""")
+def labels_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and memberships, joined to the cells and taken from them again."""
+    cells, rows, columns = _cells(spark, sf_dir)
+    labelled = conversions.with_labels(cells, rows.drop("labels"), columns)
+    conditional = conversions.conditional_row_labels_of(conversions.with_conditional_labels(cells, rows.drop("row_cluster"), columns)).select("row", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("conditional"))
+    soft = conversions.with_labels(cells, rows.select("row", conversions.soft_label("row_cluster", 3).alias("row_p")), columns.select("column", conversions.soft_label("column_cluster", 2).alias("column_p")))
+
+    def with_most_likely(labels: DataFrame, key: str, p: str) -> DataFrame:
+        return labels.join(conversions.memberships_of(soft, key, p), key).select(key, "label", conversions.most_likely(p).alias("most_likely"), F.round(F.array_max(p), 9).alias("largest"))
+
+    one = with_most_likely(conversions.row_labels_of(labelled).withColumnRenamed("row_cluster", "label"), "row", "row_p")
+    one = conversions.with_row_labels(one, conditional).select(F.col("row").cast("string").alias("key"), "label", "conditional", "most_likely", "largest")
+    two = with_most_likely(conversions.column_labels_of(labelled).withColumnRenamed("column_cluster", "label"), "column", "column_p")
+    return one.unionByName(two.select(F.col("column").alias("key"), "label", F.lit(None).cast("string").alias("conditional"), "most_likely", "largest"))

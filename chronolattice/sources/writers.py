@@ -79,8 +79,8 @@ def write_model(model, path: str) -> None:
 def coclustering_cells(result, grouped: DataFrame, key: str, source: str, series: str | None = None) -> DataFrame:
     """(rowId, var, rowCluster, colCluster, vector[, series]) of every cell."""
     columns = F.array(*[F.lit(int(c)) for c in result.col_partition])
-    base = grouped.select(F.xxhash64(key).alias("rid"), F.col(key).cast("string").alias("rowId"), F.posexplode(source).alias("var", "vector"), *([F.col(series).alias("all_series")] if series else []))
-    labelled = base.join(result.row_labels, "rid").withColumn("colCluster", F.get(columns, F.col("var")))
+    base = grouped.select(F.xxhash64(F.col(key), F.col(source)).alias("rid"), F.col(key).cast("string").alias("rowId"), F.posexplode(source).alias("var", "vector"), *([F.col(series).alias("all_series")] if series else []))
+    labelled = base.join(result.row_labels.dropDuplicates(["rid"]), "rid").withColumn("colCluster", F.get(columns, F.col("var")))
     cells = labelled.select("rowId", "var", F.get("labels", F.col("colCluster")).alias("rowCluster"), "colCluster", F.array_join(F.transform("vector", lambda x: x.cast("string")), ":").alias("vector"), *([F.array_join(F.transform(F.get("all_series", F.col("var")), lambda x: x.cast("string")), ":").alias("series")] if series else []))
     return cells
 

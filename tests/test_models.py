@@ -9,6 +9,7 @@ from chronolattice.operators.clustering import agglomerate
 from chronolattice.operators.coclustering import BlockEstimator, grid_search, size_vectors
 from chronolattice.operators.coclustering.estimator import Matrix
 from chronolattice.operators.coclustering.model import icl
+from chronolattice.operators.kmeans import KMeans
 from chronolattice.operators.series_set import SeriesSet
 from chronolattice.plans import catalogue, steps
 from chronolattice.sources import synthetic
@@ -209,3 +210,56 @@ def test_coclustering_files(spark, tmp_path):
     lines = (tmp_path / "o" / "model.csv").read_text().splitlines()
     assert lines[0].startswith("id,rowCluster,colCluster") and len(lines) == 5
     assert spark.read.csv(str(tmp_path / "o" / "dataAndCluster")).count() == 12 * 6
+
+
+def _grouped(spark, keys):
+    rng = np.random.default_rng(0)
+    rows = [(k, [[float(3 * (i % 2) + rng.normal(0, 0.1)), float(rng.normal(0, 0.1))] for _ in range(4)]) for i, k in enumerate(keys)]
+    return SeriesSet(spark.createDataFrame(rows, "gkey string, cells array<array<double>>"))
+
+
+@pytest.mark.parametrize("keys", [[str(i // 2) for i in range(20)], [None] * 10 + ["a"] * 10])
+def test_repeated_and_null_keys_keep_their_rows(spark, keys):
+    d, result = _grouped(spark, keys).add_lbm("cluster", "cells", k=2, l=1, max_iterations=4, burn_in=2, seed=1)
+    assert d.df.count() == 20 and d.df.where("cluster is null").count() == 0
+
+
+def test_starts(spark):
+    d = _grouped(spark, [str(i) for i in range(20)])
+    for init in ("randomPartition", "KMeans", "FunLBM"):
+        got, _ = d.add_lbm("cluster", "cells", k=2, l=1, max_iterations=4, burn_in=2, seed=1, init=init)
+        found = {r.gkey: r.cluster for r in got.df.collect()}
+        assert len({found[str(i)] for i in range(0, 20, 2)}) == 1 and found["0"] != found["1"], init
+    with pytest.raises(ValueError):
+        d.add_lbm("cluster", "cells", init="nonsense")
+
+
+def test_f_beta_of_one_and_of_no_rows(spark):
+    one = SeriesSet(spark.createDataFrame([(1, 1)], "a int, b int"))
+    assert one.f_beta("a", "b")(1.0) is None
+    assert SeriesSet(one.df.limit(0)).f_beta("a", "b")(2.0) is None
+    some = SeriesSet(spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 2)], "a int, b int"))
+    assert some.f_beta("a", "b")(1.0) == pytest.approx(some.f1("a", "b"))
+
+
+def test_scaling_and_components_of_no_rows(spark):
+    none = SeriesSet(spark.createDataFrame([], "id long, x array<double>"))
+    assert none.add_mds("out", "x", 2).df.count() == 0
+    assert none.pca_correlation_circle("x", "x").count() == 0
+
+
+@pytest.mark.parametrize("init", ["random", "k-means++"])
+def test_k_means_of_all_rows(spark, init):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 20, (4, 3))
+    x = np.concatenate([c + rng.normal(0, 0.5, (50, 3)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, x array<double>").repartition(3)
+    model = min((KMeans(4, 30, seed, init).fit(df, "x") for seed in range(4)), key=lambda m: m.inertia[-1])
+    assert model.inertia == sorted(model.inertia, reverse=True)
+    got = {r.id: r.label for r in model.assign(df, "x", "label").collect()}
+    assert got.pop(999) is None and [len({got[i] for i in range(k, k + 50)}) for k in range(0, 200, 50)] == [1] * 4 and len(set(got.values())) == 4
+    same = KMeans(4, 30, 0, init).fit(df.repartition(5), "x").centres
+    np.testing.assert_allclose(same, KMeans(4, 30, 0, init).fit(df, "x").centres)
+    assert len(KMeans(5, 3, 0, init).fit(df.where("id < 2"), "x").centres) == 2
+    with pytest.raises(ValueError):
+        KMeans(2).fit(df.limit(0), "x")
