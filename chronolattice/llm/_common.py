@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import re
 import shutil
@@ -10,6 +12,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +110,19 @@ def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> Non
             tables.remove(p)
 
 
+def give_back(*broadcasts: Broadcast) -> None:
+    """Called at the end of a Python task: the worker lives on, but its free memory, and these values' copies, go back.
+
+    A value that is used again is read anew from the executor's copy.
+    """
+    for b in broadcasts:
+        vars(b).pop("_value", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def packed(df: DataFrame, name: str = "row") -> Column:
     """All columns of ``df`` in one struct, so that working columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

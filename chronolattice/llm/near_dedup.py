@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, packed, redealt, unpacked
+from ._common import discard, give_back, materialise, packed, redealt, unpacked
 from ._graph import components
 from ._words import SPACES, chunks, mix, word_hashes
 
@@ -171,6 +171,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sketches += list(bit_sketches(s))
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, texts), pa.string()), pa.array(bands, lists), pa.array(sketches, lists)], ["doc_id", "digest", "bands", "sketch"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest string, bands array<long>, sketch array<long>")

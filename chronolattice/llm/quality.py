@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import give_back
 from ._words import SIGNS, chunks, mix, word_hashes
 
 BITS = 18
@@ -57,7 +58,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     b = np.arange(BUCKETS, dtype=np.uint64)[:, None] * np.uint64(NONZERO) + np.arange(NONZERO, dtype=np.uint64)
     h, part = mix(b + np.uint64(0x5851F42D4C957F2D)), DIM // NONZERO
     places = np.arange(NONZERO) * part + (h % np.uint64(part)).astype(np.int64)
-    return places, np.where(h >> np.uint64(63), 1, -1).astype(np.int32)
+    return places.astype(np.int8), np.where(h >> np.uint64(63), 1, -1).astype(np.int8)
 
 
 def buckets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +100,8 @@ def context_sums(docs: DataFrame, text_col: str) -> Iterator[tuple[int, np.ndarr
         salt = int(sums[:, DIM].sum()) % _SALTS
         for k in np.flatnonzero(sums[:, DIM].reshape(-1, _ROWS).any(1)):
             yield batch(int(k), salt, sums[k * _ROWS : (k + 1) * _ROWS].ravel().astype(np.int64))
+        del sums
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, np.zeros(0, np.int64)
@@ -239,6 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             x = features([(t or "").encode() for t in b.column(2).to_pylist()], own)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "truth", "x"])
+        del own
+        give_back(shared)
 
     rows = chosen.select(F.col("own_id").cast("string").alias("id"), "truth", "text").mapInArrow(run, "id string, truth double, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.x))
@@ -257,6 +262,8 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col:
         for b in batches:
             s = network.scores(features([(t or "").encode() for t in b.column(at).to_pylist()], own))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out_col])
+        del own
+        give_back(shared)
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.DoubleType())]))
 
