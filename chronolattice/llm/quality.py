@@ -58,7 +58,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     b = np.arange(BUCKETS, dtype=np.uint64)[:, None] * np.uint64(NONZERO) + np.arange(NONZERO, dtype=np.uint64)
     h, part = mix(b + np.uint64(0x5851F42D4C957F2D)), DIM // NONZERO
     places = np.arange(NONZERO) * part + (h % np.uint64(part)).astype(np.int64)
-    return places.astype(np.int8), np.where(h >> np.uint64(63), 1, -1).astype(np.int8)
+    return places.astype(np.int8), np.where(h >> np.uint64(63), 1, -1).astype(np.int32)
 
 
 def buckets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = docs.select(docs[id_col].alias("own_id"), docs[text_col].alias("text")).join(F.broadcast(known), F.col("own_id") == F.col("known_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.astype(np.float32)
+        own = shared.value
         for b in batches:
             x = features([(t or "").encode() for t in b.column(2).to_pylist()], own)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "truth", "x"])
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col:
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.astype(np.float32)
+        own = shared.value
         for b in batches:
             s = network.scores(features([(t or "").encode() for t in b.column(at).to_pylist()], own))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out_col])
