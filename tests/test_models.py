@@ -263,3 +263,27 @@ def test_k_means_of_all_rows(spark, init):
     assert len(KMeans(5, 3, 0, init).fit(df.where("id < 2"), "x").centres) == 2
     with pytest.raises(ValueError):
         KMeans(2).fit(df.limit(0), "x")
+
+
+@pytest.mark.parametrize("start", [True, False])
+def test_mixture_of_many_dimensions_copies_and_nulls(spark, start):
+    """Groups far apart in 64 dimensions, one of them of equal rows (a covariance of rank 0), and a row without values."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, (100, 64)) + 30 * (np.arange(64) == 40 + g) for g in range(2)] + [np.full((40, 64), -9.0)])
+    d = SeriesSet(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, x array<double>").repartition(3))
+    got, model = d.add_mixture("g", "x", 3, 10, start, runs=1 if start else 4, seed=1, probabilities="p", log_likelihood="l")
+    found = {r.id: r for r in got.df.collect()}
+    assert found[999].g is None and found[999].p is None and found[999].l is None and len(found) == 241
+    assert all(sum(found[i].p) == pytest.approx(1.0) and np.isfinite(found[i].l) for i in range(240))
+    if start:
+        assert [len({found[i].g for i in part}) for part in (range(100), range(100, 200), range(200, 240))] == [1, 1, 1]
+        assert len({found[i].g for i in (0, 100, 200)}) == 3 and sorted(model.weights) == pytest.approx([40 / 240, 100 / 240, 100 / 240])
+
+
+def test_gaussian_mixture_takes_all_components(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    # Only component 40 tells the groups apart.
+    rows = [(i, (rng.normal(0, 1, 64) + 30 * (i % 3) * (np.arange(64) == 40)).tolist(), i % 3) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES["gaussian_mixture"](spark, str(tmp_path)).collect()
+    assert len({(r.id % 3, r.cluster) for r in got}) == 3 and len({r.cluster for r in got}) == 3
