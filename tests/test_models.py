@@ -287,3 +287,31 @@ def test_gaussian_mixture_takes_all_components(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalogue.QUERIES["gaussian_mixture"](spark, str(tmp_path)).collect()
     assert len({(r.id % 3, r.cluster) for r in got}) == 3 and len({r.cluster for r in got}) == 3
+
+
+def test_summaries_centring_and_targets_in_blocks(spark, monkeypatch):
+    """Many small blocks against brute force, and a vector that is null: its distances are null and count for nothing."""
+    monkeypatch.setattr(dist, "BLOCK", 7)
+    monkeypatch.setattr(dist, "BLOCKS", 2)
+    monkeypatch.setattr(dist, "STRIP", 3)
+    x = np.random.default_rng(5).integers(0, 3, (40, 5)).astype(float)
+    d = SeriesSet(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>"))
+    off = ((x[:, None] - x[None]) ** 2).sum(-1)
+    got = {r.id: r for r in d.distance_summaries("x").collect()}
+    for i in range(40):
+        others = np.where(np.arange(40) == i, np.inf, off[i])
+        assert (got[i].n, got[i].total, got[i].nearest, got[i].least) == (40, off[i].sum(), others.argmin(), others.min())
+    b = -0.5 * off
+    b = b - b.mean(0) - b.mean(1)[:, None] + b.mean()
+    rows = reduction.centred_rows(d.df, "id", "x", dist.euclidean(False), 40).collect()
+    assert len(rows) == 1600 and max(abs(r.b - b[r.id1, r.id2]) for r in rows) < 1e-9
+    plan = dist.pairwise(d.df, "id", "x", dist.euclidean(), rows=40)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    targets = d.df.where("id % 10 = 0")
+    pairs = d.distances_to("x", targets, {"h": dist.hamming, "d": dist.euclidean()}).df.collect()
+    assert len(pairs) == 160 and all(r.h == (x[r.id1] != x[r.id2]).sum() and r.d == off[r.id1, r.id2] for r in pairs)
+    near = {r.refId: (r.closestPoint, r.distance) for r in d.closest_to_targets("x", targets, itself=False, in_blocks=dist.euclidean()).collect()}
+    assert near == {i: (got[i].nearest, got[i].least) for i in (0, 10, 20, 30)}
+    some = SeriesSet(d.df.union(spark.createDataFrame([(99, None)], d.df.schema)))
+    assert some.row_distances("x").df.where("distance is null").count() == 81
+    assert {r.id: r.least for r in some.distance_summaries("x").collect()} == {**{i: got[i].least for i in range(40)}, 99: None}
