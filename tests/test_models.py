@@ -315,3 +315,20 @@ def test_summaries_centring_and_targets_in_blocks(spark, monkeypatch):
     some = SeriesSet(d.df.union(spark.createDataFrame([(99, None)], d.df.schema)))
     assert some.row_distances("x").df.where("distance is null").count() == 81
     assert {r.id: r.least for r in some.distance_summaries("x").collect()} == {**{i: got[i].least for i in range(40)}, 99: None}
+
+
+def test_ward_of_many_rows_equals_small(spark, monkeypatch):
+    from chronolattice.operators import clustering
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 1.0, (60, 4)) for c in (0, 3, 9)] + [np.full((20, 4), 5.5)])
+    d = SeriesSet(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>"))
+    small, tree = d.add_hierarchical("x", [2, 10])
+    monkeypatch.setattr(clustering, "DRIVER_POINTS", 0)
+    monkeypatch.setattr(clustering, "PAIRS_ON_DRIVER", 2000)
+    monkeypatch.setattr(clustering, "PAIRS_AT_A_TIME", 500)
+    large, rounds = d.add_hierarchical("x", [2, 10])
+    np.testing.assert_allclose([m[2] for m in rounds.merges], [m[2] for m in tree.merges], atol=1e-6)
+    assert large.df.orderBy("id").select("hclust_2", "hclust_10").collect() == small.df.orderBy("id").select("hclust_2", "hclust_10").collect()
+    with pytest.raises(ValueError):
+        d.add_hierarchical("x", [2], "single")
