@@ -332,3 +332,15 @@ def test_ward_of_many_rows_equals_small(spark, monkeypatch):
     assert large.df.orderBy("id").select("hclust_2", "hclust_10").collect() == small.df.orderBy("id").select("hclust_2", "hclust_10").collect()
     with pytest.raises(ValueError):
         d.add_hierarchical("x", [2], "single")
+
+
+def test_scaling_of_many_vectors_equals_small(points, monkeypatch):
+    _, d = points
+    got, small = d.add_mds_with_model("m", "x", 3)
+    monkeypatch.setattr(reduction, "DRIVER_POINTS", 0)
+    monkeypatch.setattr(reduction, "pairwise", None)
+    far, large = d.add_mds_with_model("m", "x", 3)
+    np.testing.assert_allclose(large.eigenvalues, small.eigenvalues, rtol=1e-9)
+    np.testing.assert_allclose(large.explained, small.explained, rtol=1e-9)
+    np.testing.assert_allclose(np.abs([r.m for r in far.df.orderBy("id").collect()]), np.abs(small.coordinates), atol=1e-8)
+    assert large.ids == small.ids and large.stress == pytest.approx(small.stress, abs=1e-9)
