@@ -60,16 +60,14 @@ class InterpolatedFourierVectorization(Step):
     points: int | None = None
 
     def __call__(self, data: SeriesSet) -> SeriesSet:
-        d = data.add_z_normalized("fourier_z", self.source, self.epsilon).add_dft("fourier_dft", "fourier_z")
-        d = d.add_dft_frequencies("fourier_freq", "fourier_z", self.step_column).add_dft_periodogram("fourier_power", "fourier_dft")
+        d = data.add_z_normalized("fourier_z", self.source, self.epsilon).add_dft_frequencies("fourier_freq", self.source, self.step_column)
         # The non-negative half in ascending order.
-        half = lambda c: F.slice(c, F.lit(1), F.ceil(F.size("fourier_freq") / 2).cast("int"))
-        d = d.with_column("fourier_x", half(F.col("fourier_freq"))).with_column("fourier_y", half(F.col("fourier_power")))
-        row = d.df.agg(F.avg(arrays.first_step("fourier_x")).alias("step"), F.min(F.array_max("fourier_x")).alias("top"), F.max(F.size("fourier_x")).alias("n")).first()
+        x = F.slice("fourier_freq", F.lit(1), F.ceil(F.size("fourier_freq") / 2).cast("int"))
+        row = d.df.select(x.alias("x")).agg(F.avg(arrays.first_step("x")).alias("step"), F.min(F.array_max("x")).alias("top"), F.max(F.size("x")).alias("n")).first()
         n = self.points or (row.n or 1)
         xs = [i * row.step for i in range(1, n) if i * row.step <= row.top] if row.step else []
-        d = d.with_column(self.out, kernels.interpolated(F.col("fourier_x"), F.col("fourier_y"), xs))
-        return d.drop("fourier_z", "fourier_dft", "fourier_freq", "fourier_power", "fourier_x", "fourier_y")
+        d = d.with_column(self.out, kernels.periodogram_at(F.col("fourier_z"), d.column(self.step_column), xs))
+        return d.drop("fourier_z", "fourier_freq")
 
 
 @dataclass

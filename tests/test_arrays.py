@@ -116,3 +116,17 @@ def test_per_row_interpolation(spark):
 def test_kernels_chain_without_barriers(data):
     d = data.where("size(series) > 1").add_z_normalized("z", "series", 1e-9).add_dft("f", "z").add_low_pass("k", "f", 2).add_inverse_dft("b", "k").add_dft_periodogram("p", "k").add_log10("l", "p", 1.0)
     assert len(d.select("l").collect()) == 3
+
+
+def test_periodograms_at_equal_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 3, 8, 8, 8, 13, 20, 20]
+    rows = [(i, rng.normal(size=n).tolist(), 0.5 + i % 3) for i, n in enumerate(sizes)] + [(90, [], 1.0), (91, None, 1.0)]
+    at = [0.05, 0.11, 0.4, 3.0]
+    df = spark.createDataFrame(rows, "id long, v array<double>, s double")
+    got = {r.id: r.p for r in df.select("id", kernels.periodogram_at(F.col("v"), F.col("s"), at).alias("p")).collect()}
+    for i, v, s in rows[: len(sizes)]:
+        half = -(-len(v) // 2)
+        y = np.abs(np.fft.fft(v)[:half]) ** 2 / len(v)
+        np.testing.assert_allclose(got[i], kernels.linear_at(np.arange(half) / (len(v) * s), y, np.array(at)), rtol=1e-9, atol=1e-12)
+    assert got[91] is None and all(v is None or v != v for v in got[90])
